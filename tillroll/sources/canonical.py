@@ -93,8 +93,8 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
         F.col("p_name").alias("product_title"),
         F.col("l_quantity").cast("bigint").alias("units"),
         _money("l_extendedprice").alias("list_revenue"),
-        (_money("l_extendedprice") * (1 - F.col("l_discount").cast(RATE))).alias("gross_revenue"),
-        (_money("l_extendedprice") * F.col("l_discount").cast(RATE)).alias("discount"),
+        (_money("l_extendedprice") * (1 - F.col("l_discount").cast(RATE))).cast("decimal(20,4)").alias("gross_revenue"),
+        (_money("l_extendedprice") * F.col("l_discount").cast(RATE)).cast("decimal(20,4)").alias("discount"),
         F.col("l_tax").cast(RATE).alias("tax_rate"),
         _money("p_retailprice").alias("retail_price"),
         "business_unit",
@@ -119,12 +119,12 @@ def with_line_measures(tx: DataFrame) -> DataFrame:
     cogs = 0.60 x list; gp = net - cogs; funding = 0.50 x discount.
     """
     return (
-        tx.withColumn("rrp_revenue", F.col("units") * F.col("retail_price"))
-        .withColumn("net_revenue", F.col("gross_revenue") * (1 - F.col("tax_rate")))
-        .withColumn("shipping_revenue", F.col("gross_revenue") * F.col("tax_rate"))
-        .withColumn("cogs", F.col("list_revenue") * F.lit(0.60).cast(RATE))
-        .withColumn("gp", F.col("net_revenue") - F.col("cogs"))
-        .withColumn("funding", F.col("discount") * F.lit(0.50).cast(RATE))
+        tx.withColumn("rrp_revenue", (F.col("units") * F.col("retail_price")).cast("decimal(22,2)"))
+        .withColumn("net_revenue", (F.col("gross_revenue") * (1 - F.col("tax_rate"))).cast("decimal(24,6)"))
+        .withColumn("shipping_revenue", (F.col("gross_revenue") * F.col("tax_rate")).cast("decimal(24,6)"))
+        .withColumn("cogs", (F.col("list_revenue") * F.lit(0.60).cast(RATE)).cast("decimal(22,4)"))
+        .withColumn("gp", (F.col("net_revenue") - F.col("cogs")).cast("decimal(24,6)"))
+        .withColumn("funding", (F.col("discount") * F.lit(0.50).cast(RATE)).cast("decimal(24,6)"))
     )
 
 
