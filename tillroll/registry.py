@@ -757,3 +757,139 @@ def q_title_volume_unit(spark, sf_dir):
     return ttl.title_volume_unit(
         canon.product_titles(spark, sf_dir), canon.product_attributes(spark, sf_dir), TITLE_CATEGORY
     )
+
+
+# ---------------------------------------------------------------------------
+# A9 monthly KPI (two reloads into a partitioned table)
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from tillroll.operators import kpi  # noqa: E402
+from tillroll.session import shared_dir  # noqa: E402
+
+KPI_AS_OF = dt.date(2001, 7, 15)
+KPI_RELOADS = [dt.date(2001, 6, 10), dt.date(2001, 7, 15)]
+KPI_DIMS = ["business_unit", "country_group", "region", "site", "brand_submarket", "category", "brand_name",
+            "brand_category", "is_gwp"]
+_KPI_CTES = f"{O.BRAND_META},\n{O.MEASURES},\n{O.CALENDAR},\n{O.DAILY_BASE}"
+
+
+def _kpi_rawdata_sql(month: win.Window, as_of: dt.date) -> str:
+    yesterday = as_of - dt.timedelta(days=1)
+    ly = win.Window(win.add_years(month.start, -1), win.add_years(month.end, -1))
+    al = [f"(SELECT CAST(last_year_day_aligned AS DATE) FROM date_reference WHERE full_date = {O.date(d)})"
+          for d in (month.start, month.end)]
+    dims = ", ".join(KPI_DIMS)
+    sums = ", ".join(f"SUM({k}) AS {k}" for k in kpi.SUM_KPIS)
+    return f"""SELECT
+    CASE WHEN order_date BETWEEN {O.date(month.start)} AND {O.date(yesterday)} THEN 'TY' END AS period_ty,
+    CASE WHEN order_date BETWEEN {O.date(ly.start)} AND {O.date(ly.end)} THEN 'LY' END AS period_ly,
+    CASE WHEN order_date BETWEEN {al[0]} AND {al[1]} THEN 'LY_AL' END AS period_ly_al,
+    strftime({O.date(month.start)}, '%Y%m') AS calendar_year_month, {dims},
+    COUNT(DISTINCT order_id) AS orders, {sums},
+    COUNT(DISTINCT customer_id) AS total_customers,
+    COUNT(DISTINCT CASE WHEN new_category = 1 THEN customer_id END) AS new_to_category_customers
+  FROM daily_base JOIN (SELECT date_key FROM date_reference) dr USING (date_key)
+  LEFT JOIN brand_attribution USING (brand_id)
+  WHERE order_date BETWEEN {O.date(month.start)} AND {O.date(month.end)}
+     OR order_date BETWEEN {O.date(ly.start)} AND {O.date(ly.end)}
+     OR order_date BETWEEN {al[0]} AND {al[1]}
+  GROUP BY ALL"""
+
+
+def _kpi_final_sql(month: win.Window, as_of: dt.date) -> str:
+    cols = []
+    for k in kpi.KPIS:
+        for suffix, label in kpi.PERIODS:
+            s = f"IFNULL(SUM(CASE WHEN period_{suffix} = '{label}' THEN {k} END), 0)"
+            typ = "BIGINT" if k in ("orders", "units", "total_customers", "new_to_category_customers") else "DOUBLE"
+            cols.append(f"CAST({s} AS {typ}) AS {k}_{suffix}")
+    return (
+        f"SELECT calendar_year_month, {', '.join(KPI_DIMS)},\n  " + ",\n  ".join(cols)
+        + f"\nFROM ({_kpi_rawdata_sql(month, as_of)}) rawdata GROUP BY ALL"
+    )
+
+
+def _kpi_spark(spark, sf_dir, as_of):
+    return kpi.monthly_kpi(
+        spark, canon.daily_base(_tx(spark, sf_dir)), canon.calendar(spark, sf_dir),
+        canon.brand_attribution(spark, sf_dir), as_of, KPI_DIMS,
+    )
+
+
+_PC_SQL = " UNION ALL ".join(
+    f"""SELECT '{m.start.strftime('%Y%m')}' AS calendar_year_month, full_date AS order_date, date_key,
+  CASE WHEN full_date BETWEEN {O.date(m.start)} AND {O.date(KPI_AS_OF - dt.timedelta(days=1))} THEN 'TY' END AS period_ty,
+  CASE WHEN full_date BETWEEN {O.date(win.add_years(m.start, -1))} AND {O.date(win.add_years(m.end, -1))} THEN 'LY' END AS period_ly,
+  CASE WHEN full_date BETWEEN (SELECT last_year_day_aligned FROM date_reference WHERE full_date = {O.date(m.start)})
+                          AND (SELECT last_year_day_aligned FROM date_reference WHERE full_date = {O.date(m.end)}) THEN 'LY_AL' END AS period_ly_al
+FROM date_reference
+WHERE full_date BETWEEN {O.date(m.start)} AND {O.date(m.end)}
+   OR full_date BETWEEN {O.date(win.add_years(m.start, -1))} AND {O.date(win.add_years(m.end, -1))}
+   OR full_date BETWEEN (SELECT last_year_day_aligned FROM date_reference WHERE full_date = {O.date(m.start)})
+                    AND (SELECT last_year_day_aligned FROM date_reference WHERE full_date = {O.date(m.end)})"""
+    for m in win.kpi_months(KPI_AS_OF)
+)
+
+
+@register("period_calendar", "WITH " + O.CALENDAR + "\n" + _PC_SQL)
+def q_period_calendar(spark, sf_dir):
+    return kpi.period_calendar(spark, canon.calendar(spark, sf_dir), KPI_AS_OF)
+
+
+def _preagg_cast_sql(month, as_of):
+    keys = ["period_ty", "period_ly", "period_ly_al", "calendar_year_month", *KPI_DIMS]
+    vals = ["orders"] + [f"CAST({k} AS DOUBLE) AS {k}" if k != "units" else "CAST(units AS BIGINT) AS units" for k in kpi.SUM_KPIS]
+    vals += ["total_customers", "new_to_category_customers"]
+    return f"SELECT {', '.join(keys)}, {', '.join(vals)} FROM ({_kpi_rawdata_sql(month, as_of)}) r"
+
+
+@register(
+    "kpi_preaggregate",
+    O.with_tx(
+        "\nUNION ALL\n".join(_preagg_cast_sql(m, KPI_AS_OF) for m in win.kpi_months(KPI_AS_OF)), extra=_KPI_CTES
+    ),
+)
+def q_kpi_preaggregate(spark, sf_dir):
+    pre = kpi.kpi_preaggregate(
+        canon.daily_base(_tx(spark, sf_dir)),
+        kpi.period_calendar(spark, canon.calendar(spark, sf_dir), KPI_AS_OF),
+        canon.brand_attribution(spark, sf_dir),
+        KPI_DIMS,
+    )
+    return pre.select(
+        *[F.col(c).cast("double") if c in kpi.SUM_KPIS and c != "units" else F.col(c) for c in pre.columns]
+    ).withColumn("units", F.col("units").cast("bigint"))
+
+
+@register(
+    "monthly_kpi",
+    O.with_tx("\nUNION ALL\n".join(_kpi_final_sql(m, KPI_AS_OF) for m in win.kpi_months(KPI_AS_OF)), extra=_KPI_CTES),
+)
+def q_monthly_kpi(spark, sf_dir):
+    return _kpi_spark(spark, sf_dir, KPI_AS_OF)
+
+
+def _kpi_table_sql() -> str:
+    parts = []
+    later_months = set()
+    for as_of in reversed(KPI_RELOADS):
+        for m in win.kpi_months(as_of):
+            key = m.start.strftime("%Y%m")
+            if key not in later_months:
+                parts.append(_kpi_final_sql(m, as_of))
+        later_months |= {m.start.strftime("%Y%m") for m in win.kpi_months(as_of)}
+    return O.with_tx("\nUNION ALL\n".join(parts), extra=_KPI_CTES)
+
+
+@register("monthly_kpi_table", _kpi_table_sql())
+def q_monthly_kpi_table(spark, sf_dir):
+    """The monthly table after two overlapping reloads (the later one replaces
+    the shared month)."""
+    table = f"monthly_category_brand_agg_{uuid.uuid4().hex[:8]}"
+    location = shared_dir(spark, table)
+    base = canon.daily_base(_tx(spark, sf_dir))
+    cal, attr = canon.calendar(spark, sf_dir), canon.brand_attribution(spark, sf_dir)
+    for as_of in KPI_RELOADS:
+        kpi.reload_monthly_kpi(spark, base, cal, attr, as_of, table, location, KPI_DIMS)
+    return spark.table(table)

@@ -349,3 +349,25 @@ def price_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     current = prices.filter(F.col("k") >= PRICE_SEGMENTS // 2).drop("k")
     historic = prices.filter(F.col("k") < PRICE_SEGMENTS // 2).drop("k")
     return current, historic
+
+
+def daily_base(tx: DataFrame) -> DataFrame:
+    """Order lines with measures, date key and a first-purchase-in-category
+    flag, in the shape of the KPI fact table."""
+    m = with_first_purchase_flag(with_line_measures(tx), ["category"], "_new_cat")
+    return m.select(
+        F.date_format("order_date", "yyyyMMdd").cast("bigint").alias("date_key"),
+        "brand_id", "order_date", "order_id", "customer_id",
+        F.col("_new_cat").cast("int").alias("new_category"),
+        "rrp_revenue", "list_revenue", "gross_revenue", "net_revenue", "shipping_revenue",
+        "gp", "cogs", "funding", "discount", "units",
+        "business_unit", "country_group", "region", "site", "category", "brand_name",
+        F.col("is_gwp").cast("int").alias("is_gwp"),
+    )
+
+
+def brand_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """brand_id, brand_submarket, brand_category for the KPI table."""
+    return brand_metadata(spark, sf_dir).select(
+        "brand_id", "brand_submarket", F.col("main_category").alias("brand_category")
+    )
