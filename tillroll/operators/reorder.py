@@ -108,8 +108,8 @@ def gap_bounds(stats: DataFrame) -> DataFrame:
 
 def activity_buckets(customers: DataFrame, stats: DataFrame) -> DataFrame:
     """Active / Lapsing / Lapsed by days since last order against the gap
-    statistics (B9).  ``stats`` is one row, so the cross join is a broadcast
-    of a single row."""
+    statistics (B9).  ``stats`` is one global-aggregate row; it is attached
+    with a broadcast equi-join on a constant key (one row to ship)."""
     d = F.col("days_since_last_order")
     avg, sd = F.col("avg_time"), F.col("std_dev")
     bucket = (
@@ -118,8 +118,11 @@ def activity_buckets(customers: DataFrame, stats: DataFrame) -> DataFrame:
         .when(d > avg + sd, "Lapsed")
         .otherwise(NO_BUCKET)
     )
-    return customers.crossJoin(F.broadcast(stats)).select(
-        "customer_id", "last_order_date", bucket.alias("activity_bucket")
+    one = F.lit(1).alias("_one")
+    return (
+        customers.select("*", one)
+        .join(F.broadcast(stats.select("*", one)), "_one")
+        .select("customer_id", "last_order_date", bucket.alias("activity_bucket"))
     )
 
 

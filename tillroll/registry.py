@@ -893,3 +893,134 @@ def q_monthly_kpi_table(spark, sf_dir):
     for as_of in KPI_RELOADS:
         kpi.reload_monthly_kpi(spark, base, cal, attr, as_of, table, location, KPI_DIMS)
     return spark.table(table)
+
+
+# ---------------------------------------------------------------------------
+# A7 daily prices and campaign compliance
+# ---------------------------------------------------------------------------
+from tillroll.operators import pricing as prc  # noqa: E402
+
+# Three reloads: the second overlaps the first (its days are replaced), the
+# third sees current prices that have already ended (NULL rows marked 'H').
+PRICE_RELOADS = [dt.date(2000, 7, 15), dt.date(2000, 7, 28), dt.date(2000, 8, 10)]
+_price_windows = [win.last_days(a, 16) for a in PRICE_RELOADS]
+
+
+def _price_inputs(spark, sf_dir):
+    current, historic = canon.price_lists(spark, sf_dir)
+    fix = bun.brand_key_fix(canon.brand_fixes(spark), canon.brands(spark, sf_dir))
+    return dict(
+        skus=canon.displayable_skus(spark, sf_dir),
+        product_dim=canon.product_dim(spark, sf_dir),
+        brand_dim=canon.brand_dim(spark, sf_dir),
+        brand_fix=fix,
+        brand_attr=canon.brand_metadata(spark, sf_dir),
+        product_attr=canon.product_attribution(spark, sf_dir),
+        date_dim=canon.calendar(spark, sf_dir),
+        current=current,
+        historic=historic,
+    )
+
+
+def _price_run(spark, sf_dir, window):
+    i = _price_inputs(spark, sf_dir)
+    grid = prc.sku_date_grid(
+        i["skus"], i["product_dim"], i["brand_dim"], i["brand_fix"], i["brand_attr"], i["product_attr"],
+        i["date_dim"], i["current"], window,
+    )
+    return grid, prc.daily_prices(grid, i["current"], i["historic"], window)
+
+
+def _as_double(df):
+    return df.select(*[F.col(c).cast("double") if c in ("RRP", "Price") else F.col(c) for c in df.columns])
+
+
+_DAILY_TABLES: dict[tuple[int, str], str] = {}
+
+
+def daily_price_table(spark, sf_dir) -> DataFrame:
+    """The date-partitioned daily price table after the three reloads (built
+    once per session and input folder)."""
+    key = (id(spark), sf_dir)
+    table = _DAILY_TABLES.get(key)
+    if table is None or not spark.catalog.tableExists(table):
+        table = f"base_table_{uuid.uuid4().hex[:8]}"
+        location = shared_dir(spark, table)
+        for w in _price_windows:
+            prc.refresh_daily_prices(spark, _price_run(spark, sf_dir, w)[1], w, table, location)
+        _DAILY_TABLES[key] = table
+    return spark.table(table)
+
+
+def _price_sql(body: str, runs=None) -> str:
+    runs = runs if runs is not None else list(range(len(_price_windows)))
+    ctes = [O.BRAND_META, O.CALENDAR, O.PRICE_INPUTS, _BRAND_FIX_CTES]
+    ctes += [O.price_run(f"r{i}", _price_windows[i].start, _price_windows[i].end) for i in runs]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def _base_table_sql() -> str:
+    parts = []
+    for i, w in enumerate(_price_windows):
+        later = _price_windows[i + 1 :]
+        cond = " AND ".join(f"Date NOT BETWEEN {O.date(x.start)} AND {O.date(x.end)}" for x in later) or "TRUE"
+        parts.append(f"SELECT * FROM final_r{i} WHERE {cond}")
+    return "base_table AS (\n" + "\nUNION ALL\n".join(parts) + "\n)"
+
+
+_DOUBLE_PRICES = "* REPLACE (CAST(RRP AS DOUBLE) AS RRP, CAST(Price AS DOUBLE) AS Price)"
+
+
+@register("sku_date_grid", _price_sql("SELECT * FROM cross_table_r0", runs=[0]))
+def q_sku_date_grid(spark, sf_dir):
+    return _price_run(spark, sf_dir, _price_windows[0])[0]
+
+
+@register("price_at_date", _price_sql(f"SELECT {_DOUBLE_PRICES} FROM final_r0", runs=[0]))
+def q_price_at_date(spark, sf_dir):
+    return _as_double(_price_run(spark, sf_dir, _price_windows[0])[1])
+
+
+@register("price_at_date_expired", _price_sql(f"SELECT {_DOUBLE_PRICES} FROM final_r2", runs=[2]))
+def q_price_at_date_expired(spark, sf_dir):
+    return _as_double(_price_run(spark, sf_dir, _price_windows[2])[1])
+
+
+
+
+def _a7b_sql(body: str) -> str:
+    ctes = [O.BRAND_META, O.CALENDAR, O.PRICE_INPUTS, _BRAND_FIX_CTES]
+    ctes += [O.price_run(f"r{i}", w.start, w.end) for i, w in enumerate(_price_windows)]
+    ctes += [_base_table_sql(), O.COMPLIANCE]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+@register("daily_prices_table", _a7b_sql(f"SELECT {_DOUBLE_PRICES} FROM base_table"))
+def q_daily_prices_table(spark, sf_dir):
+    return _as_double(daily_price_table(spark, sf_dir))
+
+
+@register(
+    "campaign_islands",
+    _a7b_sql(
+        "SELECT Brand_key, Brand_Name, Category, Product_Id, Product_Title, Site_Key, Locale_Key, Campaign_Flag, "
+        "Change_Group, Valid_From, Valid_To, Day_diff, Pre_Day_diff FROM compliant_check"
+    ),
+)
+def q_campaign_islands(spark, sf_dir):
+    return prc.campaign_islands(daily_price_table(spark, sf_dir))
+
+
+@register("discount_days_brand", _a7b_sql("SELECT * FROM brand_days_discount"))
+def q_discount_days_brand(spark, sf_dir):
+    return prc.discount_days_brand(daily_price_table(spark, sf_dir))
+
+
+@register("discount_days_category", _a7b_sql("SELECT * FROM brand_category_days_discount"))
+def q_discount_days_category(spark, sf_dir):
+    return prc.discount_days_category(daily_price_table(spark, sf_dir))
+
+
+@register("campaign_compliance", _a7b_sql("SELECT * FROM compliance_checker"))
+def q_campaign_compliance(spark, sf_dir):
+    return prc.campaign_compliance(daily_price_table(spark, sf_dir))

@@ -299,21 +299,52 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def displayable_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part on each site (37, 231) and locale (3, 6)."""
+    """Every part on each site (37, 231) and locale (3, 6).  The sku category
+    is the lower-cased type, so the product attribution (upper case) visibly
+    wins when present."""
     p = products(spark, sf_dir)
-    grid = spark.createDataFrame(
-        [(s, SITE_NAMES[s], loc, LOCALES[loc]) for s in (SITE_CORE, SITE_CULT) for loc in LOCALES],
-        "Site_Key int, Site string, Locale_Key int, Locale string",
-    )
-    return p.crossJoin(F.broadcast(grid)).select(
+    placements = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(s).alias("Site_Key"), F.lit(SITE_NAMES[s]).alias("Site"),
+                    F.lit(loc).alias("Locale_Key"), F.lit(LOCALES[loc]).alias("Locale"),
+                )
+                for s in (SITE_CORE, SITE_CULT)
+                for loc in LOCALES
+            ]
+        )
+    ).alias("pl")
+    return p.select("*", placements).select(
         F.col("product_id").alias("Product_Id"),
         "product_key",
         F.col("product_title").alias("Product_Title"),
-        "Site_Key",
-        "Site",
-        "Locale_Key",
-        "Locale",
-        F.col("category").alias("Category"),
+        "pl.Site_Key",
+        "pl.Site",
+        "pl.Locale_Key",
+        "pl.Locale",
+        F.lower("category").alias("Category"),
+    )
+
+
+def product_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """product_id -> Brand_Key."""
+    return products(spark, sf_dir).select("product_id", F.col("brand_id").alias("Brand_Key"))
+
+
+def brand_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand_Key, Brand_Name."""
+    return brands(spark, sf_dir).select(F.col("brand_id").alias("Brand_Key"), F.col("brand_name").alias("Brand_Name"))
+
+
+def product_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """product_id, Category, Subcategory ('SIZE_' + size % 4); parts with key
+    % 19 = 0 have no attribution (the sku's own category is used)."""
+    part = read_table(spark, sf_dir, "part")
+    return part.filter(F.col("p_partkey") % 19 != 0).select(
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_type").alias("Category"),
+        F.concat(F.lit("SIZE_"), (F.col("p_size") % 4).cast("string")).alias("Subcategory"),
     )
 
 
