@@ -1,0 +1,120 @@
+"""Daily price rows vs a brute-force model of the reference's range joins.
+
+The brute force loops over (sku, day) and every price interval exactly as the
+SQL text reads (join on Valid_From <= day, mask with CASE, DISTINCT), so the
+interval-expansion rewrite is checked on overlapping, expired, open, NULL and
+empty intervals (SURVEY S26, S27)."""
+
+import datetime as dt
+from decimal import Decimal
+
+from tillroll.functions.windows import Window, dates_between
+from tillroll.operators import pricing as prc
+
+D = dt.date
+KEYS = ("product_key", "Site_Key", "Locale_Key", "Currency_Key")
+
+
+def brute_force(grid_rows, current, historic, window):
+    out = set()
+    for g in grid_rows:
+        day = g["Date"]
+        home = (g["Locale_Key"] == 3 and g["Currency_Key"] == 2) or (g["Locale_Key"] != 3 and g["Currency_Key"] == 1)
+        if not home:
+            continue
+        matches = [p for p in current if all(p[k] == g[k] for k in KEYS) and p["Valid_From"] is not None
+                   and p["Valid_From"] <= day]
+        actual = []
+        for p in matches or [None]:
+            live = p is not None and p["Valid_To"] is not None and p["Valid_From"] <= day <= p["Valid_To"] - dt.timedelta(days=1)
+            vt = None
+            if p is not None and p["Valid_To"] is not None and p["Valid_To"] > window.end:
+                vt = window.end
+            elif live:
+                vt = p["Valid_To"]
+            actual.append((p["Valid_From"] if live else None, vt, p["RRP"] if live else None,
+                           p["Price"] if live else None, "A" if live else None))
+        for a in set(actual):
+            hist = [h for h in historic if all(h[k] == g[k] for k in KEYS) and h["Valid_From"] is not None
+                    and h["Valid_To"] is not None and h["Valid_From"] <= day < h["Valid_To"]]
+            for h in hist or [None]:
+                vf = a[0] if a[0] is not None else (h["Valid_From"] if h else None)
+                vt = a[1] if a[1] is not None else (h["Valid_To"] if h else None)
+                rrp = a[2] if a[2] is not None else (h["RRP"] if h else None)
+                price = a[3] if a[3] is not None else (h["Price"] if h else None)
+                flag = 1 if (rrp is not None and price is not None and rrp > price) else 0
+                out.add((day, g["product_key"], g["Locale_Key"], vf, vt, rrp, price, a[4] or "H", flag))
+    return out
+
+
+def test_daily_prices_match_brute_force(spark):
+    window = Window(D(2000, 7, 1), D(2000, 7, 10))
+    m = Decimal
+    current = [
+        # sku 1: an ended interval, a live one, an open-ended one later
+        dict(product_key=1, Site_Key=37, Locale_Key=3, Currency_Key=2, Valid_From=D(2000, 6, 1), Valid_To=D(2000, 7, 3), RRP=m("10.00"), Price=m("8.00")),
+        dict(product_key=1, Site_Key=37, Locale_Key=3, Currency_Key=2, Valid_From=D(2000, 7, 3), Valid_To=D(2000, 7, 8), RRP=m("10.00"), Price=m("10.00")),
+        dict(product_key=1, Site_Key=37, Locale_Key=3, Currency_Key=2, Valid_From=D(2000, 7, 8), Valid_To=D(9999, 12, 31), RRP=m("10.00"), Price=m("7.00")),
+        # sku 2: starts mid-window, overlapping pair, a NULL end and an empty interval
+        dict(product_key=2, Site_Key=37, Locale_Key=6, Currency_Key=1, Valid_From=D(2000, 7, 5), Valid_To=D(2000, 7, 9), RRP=m("5.00"), Price=m("4.00")),
+        dict(product_key=2, Site_Key=37, Locale_Key=6, Currency_Key=1, Valid_From=D(2000, 7, 6), Valid_To=D(2000, 7, 20), RRP=m("5.00"), Price=m("5.00")),
+        dict(product_key=2, Site_Key=37, Locale_Key=6, Currency_Key=1, Valid_From=D(2000, 7, 7), Valid_To=None, RRP=m("5.00"), Price=m("1.00")),
+        dict(product_key=2, Site_Key=37, Locale_Key=6, Currency_Key=1, Valid_From=D(2000, 7, 2), Valid_To=D(2000, 7, 2), RRP=m("5.00"), Price=m("2.00")),
+        # sku 3: only a NULL start; wrong currency row for sku 1
+        dict(product_key=3, Site_Key=231, Locale_Key=6, Currency_Key=1, Valid_From=None, Valid_To=D(2000, 8, 1), RRP=m("3.00"), Price=m("2.00")),
+        dict(product_key=1, Site_Key=37, Locale_Key=3, Currency_Key=1, Valid_From=D(2000, 1, 1), Valid_To=D(2001, 1, 1), RRP=m("9.00"), Price=m("1.00")),
+    ]
+    historic = [
+        dict(product_key=1, Site_Key=37, Locale_Key=3, Currency_Key=2, Valid_From=D(2000, 5, 1), Valid_To=D(2000, 7, 5), RRP=m("11.00"), Price=m("9.00")),
+        dict(product_key=2, Site_Key=37, Locale_Key=6, Currency_Key=1, Valid_From=D(2000, 6, 1), Valid_To=D(2000, 12, 1), RRP=None, Price=m("4.50")),
+        dict(product_key=3, Site_Key=231, Locale_Key=6, Currency_Key=1, Valid_From=D(2000, 7, 4), Valid_To=D(2000, 7, 6), RRP=m("3.00"), Price=m("3.00")),
+    ]
+    schema = ("Product_key bigint, Site_Key int, Locale_Key int, Currency_Key int, Valid_From date, Valid_To date, "
+              "RRP decimal(18,2), Price decimal(18,2)")
+    order = ["product_key", "Site_Key", "Locale_Key", "Currency_Key", "Valid_From", "Valid_To", "RRP", "Price"]
+    cur_df = spark.createDataFrame([tuple(p[k] for k in order) for p in current], schema)
+    hist_df = spark.createDataFrame([tuple(p[k] for k in order) for p in historic], schema)
+    skus = [(1, 37, 3, 2), (2, 37, 6, 1), (3, 231, 6, 1), (4, 37, 6, 1)]
+    grid_rows = [dict(product_key=k, Site_Key=s, Locale_Key=l, Currency_Key=c, Date=d)
+                 for k, s, l, c in skus for d in dates_between(window)]
+    grid = spark.createDataFrame(
+        [(r["product_key"], r["product_key"], "t", r["Site_Key"], "S", r["Locale_Key"], "L", 1, "B", "", "", "c", "", r["Currency_Key"], r["Date"])
+         for r in grid_rows],
+        "product_key bigint, Product_Id bigint, Product_Title string, Site_Key int, Site string, Locale_Key int, "
+        "Locale string, Brand_key bigint, Brand_Name string, Brand_Submarket string, Brand_Category string, "
+        "Category string, Subcategory string, Currency_Key int, Date date",
+    )
+    got = {
+        (r["Date"], r["product_key"], r["Locale_Key"], r["Valid_From"], r["Valid_To"], r["RRP"], r["Price"],
+         r["Price_Check"], r["Campaign_Flag"])
+        for r in prc.daily_prices(grid, cur_df, hist_df, window).collect()
+    }
+    want = brute_force(grid_rows, current, historic, window)
+    assert got == want
+    assert len(got) > 40
+
+
+def test_islands_and_compliance_flag(spark):
+    """Flag runs per sku: 20 discounted days (first island > 14 -> flagged),
+    then regular, then a shorter discount (not flagged)."""
+    rows = []
+    def add(d0, d1, vf, vt, flag):
+        for d in dates_between(Window(d0, d1)):
+            rows.append((d, 1, 100, "t", 37, "S", 3, "L", 1, "B", "", "", "c", "", vf, vt, "GBP",
+                         Decimal("10.00"), Decimal("8.00") if flag else Decimal("10.00"), "A", flag))
+    add(D(2000, 3, 1), D(2000, 3, 20), D(2000, 3, 1), D(2000, 3, 21), 1)
+    add(D(2000, 3, 21), D(2000, 3, 30), D(2000, 3, 21), D(2000, 3, 31), 0)
+    add(D(2000, 3, 31), D(2000, 4, 4), D(2000, 3, 31), D(2000, 4, 5), 1)
+    daily = spark.createDataFrame(
+        rows, ", ".join(f"{c} {t}" for c, t in zip(prc.DAILY_COLUMNS, [
+            "date", "bigint", "bigint", "string", "int", "string", "int", "string", "bigint", "string", "string",
+            "string", "string", "string", "date", "date", "string", "decimal(18,2)", "decimal(18,2)", "string", "int"])),
+    )
+    out = sorted((r["Valid_From"], r["Campaign_Flag"], r["Day_diff"], r["Pre_Day_diff"], r["Compliant_Flag"],
+                  r["Days_on_Discount_Brand"], r["Days_on_Site_Brand"])
+                 for r in prc.campaign_compliance(daily).collect())
+    assert out == [
+        (D(2000, 3, 1), 1, 20, None, 1, 25, 35),
+        (D(2000, 3, 21), 0, 10, 20, 0, 25, 35),
+        (D(2000, 3, 31), 1, 5, 10, 0, 25, 35),
+    ]

@@ -55,13 +55,16 @@ def row_number_by(
         F.max("_local_rn").alias("_n"), *[F.max(c).alias(f"_unused_{i}") for i, c in enumerate(others)]
     ).select("_slice", *keys, "_n")
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    renamed = {k: f"_o{i}" for i, k in enumerate(keys)}
     offsets = (
         per_slice.withColumn("_offset", F.sum("_n").over(before))
         .filter(F.col("_offset") > 0)
-        .select("_slice", *keys, "_offset")
+        .select(F.col("_slice").alias("_o_slice"), *[F.col(k).alias(v) for k, v in renamed.items()], "_offset")
     )
+    # NULL is a key value like any other (as in PARTITION BY): null-safe match.
+    cond = [F.col("_slice") == F.col("_o_slice")] + [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
     return (
-        local.join(F.broadcast(offsets), ["_slice", *keys], "left")
+        local.join(F.broadcast(offsets), cond, "left")
         .withColumn(out, (F.col("_local_rn") + F.coalesce(F.col("_offset"), F.lit(0))).cast("bigint"))
-        .drop("_slice", "_local_rn", "_offset")
+        .drop("_slice", "_local_rn", "_offset", "_o_slice", *renamed.values())
     )
