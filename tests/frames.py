@@ -10,7 +10,7 @@ TX_SCHEMA = (
     "brand_id bigint, brand_key bigint, brand_name string, category string, product_id bigint, "
     "product_title string, units bigint, gross_revenue decimal(20,4), business_unit string, "
     "country_group string, region string, site_id int, site string, payment_status string, "
-    "is_gift boolean, is_gwp boolean, is_new_brand boolean"
+    "is_gift boolean, is_gwp boolean, is_new_brand boolean, order_month int"
 )
 
 D = dt.date
@@ -21,7 +21,7 @@ def line(customer, order, day, brand=1, category="Hair", product=1, units=1, rev
     return (
         customer, order, order, day, seq if seq is not None else order, brand, brand, f"Brand#{brand}",
         category, product, f"title {product}", units, Decimal(revenue), unit, country, "R1", site_id,
-        "CORE", "Paid" if paid else "Pending", gift, gift, new,
+        "CORE", "Paid" if paid else "Pending", gift, gift, new, day.year * 100 + day.month,
     )
 
 

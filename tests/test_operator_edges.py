@@ -163,6 +163,7 @@ def test_bundle_weights_default_and_repeat(spark):
         "Product_Key bigint, Is_Bundle int, Units bigint, list_price decimal(18,2), Business_Unit string, "
         "Country_Group string, Is_GWP int, Order_Payment_Status_Key int",
     )
+    lines = lines.withColumn("order_month", F.lit(200005))
     for c in ["product_revenue", "product_net_revenue", "rrp", "Shipping_Net_Revenue", "product_cost",
               "Total_Discount", "funded", "gp"]:
         lines = lines.withColumn(c, F.col("list_price"))

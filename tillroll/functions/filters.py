@@ -32,7 +32,8 @@ def valid_line(
     brand_ids: Iterable[int] | None = None,
     category: str | None = None,
 ) -> Column:
-    """Build the valid-line predicate over the canonical transaction columns.
+    """Build the valid-line predicate over the canonical transaction columns
+    (which include ``order_month`` = yyyyMM of ``order_date``).
 
     ``business_unit``: a string keeps that unit; ``None`` keeps any non-NULL
     unit (the reference's ``business_unit = business_unit`` self-comparison);
@@ -41,6 +42,9 @@ def valid_line(
     conds: list[Column] = []
     if window is not None:
         conds.append(F.col("order_date").between(F.lit(window.start), F.lit(window.end)))
+        # Same window on the month key: a partition filter on the fact table.
+        lo, hi = window.start.year * 100 + window.start.month, window.end.year * 100 + window.end.month
+        conds.append(F.col("order_month").between(lo, hi))
     if units_positive:
         conds.append(F.col("units") > 0)
     if not_gift:

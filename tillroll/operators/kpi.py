@@ -76,6 +76,12 @@ def period_calendar(spark: SparkSession, calendar: DataFrame, as_of) -> DataFram
         .join(m.select("calendar_year_month", "m_start", "ly_start", "ly_end", "al_start", "al_end"), "calendar_year_month")
     )
     d = F.col("order_date")
+    # Every date of the three ranges carries at least one period (the
+    # reference's WHERE), and no period reaches past yesterday.  The second,
+    # single-column predicate also lets Spark treat the calendar as a
+    # selective side and prune fact partitions dynamically.
+    in_a_period = F.col("period_ty").isin("TY") | F.col("period_ly").isin("LY") | F.col("period_ly_al").isin("LY_AL")
+    in_a_period = in_a_period & (d <= F.lit(yesterday))
     out = tagged.select(
         "calendar_year_month",
         "order_date",
@@ -83,18 +89,23 @@ def period_calendar(spark: SparkSession, calendar: DataFrame, as_of) -> DataFram
         F.when(d.between(F.col("m_start"), F.lit(yesterday)), "TY").alias("period_ty"),
         F.when(d.between(F.col("ly_start"), F.col("ly_end")), "LY").alias("period_ly"),
         F.when(d.between(F.col("al_start"), F.col("al_end")), "LY_AL").alias("period_ly_al"),
+    ).filter(in_a_period)
+    return out.join(calendar.select(F.col("full_date").alias("order_date"), "date_key"), "order_date").withColumn(
+        "order_month", (F.year("order_date") * 100 + F.month("order_date")).cast("int")
     )
-    return out.join(calendar.select(F.col("full_date").alias("order_date"), "date_key"), "order_date")
 
 
 def kpi_preaggregate(daily_base: DataFrame, periods: DataFrame, brand_attr: DataFrame, dims: list[str]) -> DataFrame:
     """Sums and distinct counts per (period flags, month, dims).
 
     The period calendar is bounded by the parameters (under 200 rows), so it
-    is broadcast; the fact table is read once and filtered to the dates of the
-    calendar by the join itself.
+    is broadcast.  The join also matches the month key, the partition column
+    of the fact table, so dynamic partition pruning reads only the months the
+    calendar holds.
     """
-    f = daily_base.join(F.broadcast(periods.drop("order_date")), "date_key").join(brand_attr, "brand_id", "left")
+    f = daily_base.join(F.broadcast(periods.drop("order_date")), ["date_key", "order_month"]).join(
+        brand_attr, "brand_id", "left"
+    )
     keys = ["period_ty", "period_ly", "period_ly_al", "calendar_year_month", *dims]
     return f.groupBy(*keys).agg(
         F.countDistinct("order_id").alias("orders"),

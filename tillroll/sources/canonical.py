@@ -71,8 +71,14 @@ def brand_id_of(p_brand: Column) -> Column:
     return F.substring(p_brand, 7, 10).cast("bigint")
 
 
+def order_month_of(day: Column) -> Column:
+    """yyyyMM as a number: the partition key of the materialized fact table."""
+    return (F.year(day) * 100 + F.month(day)).cast("int")
+
+
 def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False) -> DataFrame:
-    """Canonical order lines (one row per lineitem row)."""
+    """Canonical order lines (one row per lineitem row), joined from the raw
+    tables on every call.  Analyses normally read ``fact_transactions``."""
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     part = read_table(spark, sf_dir, "part")
@@ -84,6 +90,7 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
         F.col("o_orderkey").alias("order_id"),
         F.col("o_orderkey").alias("order_number"),
         F.col("o_orderdate").cast("date").alias("order_date"),
+        order_month_of(F.col("o_orderdate").cast("date")).alias("order_month"),
         brand_id_of(F.col("p_brand")).alias("brand_id"),
         brand_id_of(F.col("p_brand")).alias("brand_key"),
         F.col("p_brand").alias("brand_name"),
@@ -112,6 +119,41 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
     return tx.select(*cols)
 
 
+_FACTS: dict[tuple[int, str], tuple[str, object]] = {}
+
+
+def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical order lines, written once per session into the shared
+    checkpoint folder, partitioned by order month and sorted by date inside.
+
+    The four-way join (and the order numbering) then runs once instead of once
+    per analysis, and a date window reads only its months: every analysis
+    filters ``order_month`` next to ``order_date`` (see ``valid_line``), which
+    prunes partitions, and the date sort lets parquet statistics skip row
+    groups inside them.  The write goes through Spark's commit protocol, so a
+    lost executor only re-runs its tasks; the written table also cuts the
+    lineage of everything that reads it.
+    """
+    key = (id(spark), sf_dir.rstrip("/"))
+    cached = _FACTS.get(key)
+    if cached is None:
+        from tillroll.session import shared_dir
+
+        tx = transactions(spark, sf_dir, with_sequence=True)
+        path = shared_dir(spark, "fact_transactions")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (
+            tx.repartitionByRange(n, "order_date", "order_id")
+            .sortWithinPartitions("order_date")
+            .write.partitionBy("order_month")
+            .parquet(path)
+        )
+        cached = (path, tx.schema)
+        _FACTS[key] = cached
+    path, schema = cached
+    return spark.read.schema(schema).parquet(path)
+
+
 def with_line_measures(tx: DataFrame) -> DataFrame:
     """Revenue/cost measures used by the KPI and bundle analyses (all DECIMAL).
 
@@ -252,6 +294,7 @@ def customer_product(tx: DataFrame) -> DataFrame:
     return m.select(
         F.year("order_date").cast("bigint").alias("Year"),
         F.col("order_date").alias("Order_Date"),
+        "order_month",
         F.col("brand_key").alias("Brand_Key"),
         F.col("brand_name").alias("Brand_Name"),
         F.col("category").alias("Category"),
@@ -280,22 +323,40 @@ def customer_product(tx: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
+_CALENDARS: dict[tuple[int, str], str] = {}
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per day from the first to the last order date (plus one year on
-    each side, so last-year lookups resolve): full_date, date_key (yyyyMMdd),
-    last_year_day_aligned = date - 364 (same weekday), calendar_year_month."""
-    orders = read_table(spark, sf_dir, "orders")
-    bounds = orders.agg(
-        F.add_months(F.min(F.col("o_orderdate").cast("date")), -12).alias("lo"),
-        F.add_months(F.max(F.col("o_orderdate").cast("date")), 12).alias("hi"),
-    )
-    days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("full_date"))
-    return days.select(
-        "full_date",
-        F.date_format("full_date", "yyyyMMdd").cast("bigint").alias("date_key"),
-        F.date_sub("full_date", 364).alias("last_year_day_aligned"),
-        F.date_format("full_date", "yyyyMM").alias("calendar_year_month"),
-    )
+    """One row per day, from a year before the first order month to a year
+    after the last one: full_date, date_key (yyyyMMdd), last_year_day_aligned
+    (date - 364, same weekday), calendar_year_month (yyyyMM).
+
+    The bounds come from the month partitions of the fact table (only
+    partition values are read); the few thousand rows are written once per
+    session to the shared folder, so repeated lookups read a small file.
+    """
+    key = (id(spark), sf_dir.rstrip("/"))
+    path = _CALENDARS.get(key)
+    if path is None:
+        from tillroll.session import shared_dir
+
+        months = fact_transactions(spark, sf_dir).agg(
+            F.min("order_month").alias("lo"), F.max("order_month").alias("hi")
+        )
+        first_day = lambda c: F.to_date(F.concat(F.col(c).cast("string"), F.lit("01")), "yyyyMMdd")
+        bounds = months.select(
+            F.add_months(first_day("lo"), -12).alias("lo"), F.last_day(F.add_months(first_day("hi"), 12)).alias("hi")
+        )
+        days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("full_date"))
+        path = shared_dir(spark, "calendar")
+        days.select(
+            "full_date",
+            F.date_format("full_date", "yyyyMMdd").cast("bigint").alias("date_key"),
+            F.date_sub("full_date", 364).alias("last_year_day_aligned"),
+            F.date_format("full_date", "yyyyMM").alias("calendar_year_month"),
+        ).coalesce(1).write.parquet(path)
+        _CALENDARS[key] = path
+    return spark.read.parquet(path)
 
 
 def displayable_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,7 +449,7 @@ def daily_base(tx: DataFrame) -> DataFrame:
     m = with_first_purchase_flag(with_line_measures(tx), ["category"], "_new_cat")
     return m.select(
         F.date_format("order_date", "yyyyMMdd").cast("bigint").alias("date_key"),
-        "brand_id", "order_date", "order_id", "customer_id",
+        "order_month", "brand_id", "order_date", "order_id", "customer_id",
         F.col("_new_cat").cast("int").alias("new_category"),
         "rrp_revenue", "list_revenue", "gross_revenue", "net_revenue", "shipping_revenue",
         "gp", "cogs", "funding", "discount", "units",
