@@ -77,13 +77,13 @@ def test_daily_prices_match_brute_force(spark):
     skus = [(1, 37, 3, 2), (2, 37, 6, 1), (3, 231, 6, 1), (4, 37, 6, 1)]
     grid_rows = [dict(product_key=k, Site_Key=s, Locale_Key=l, Currency_Key=c, Date=d)
                  for k, s, l, c in skus for d in dates_between(window)]
-    grid = spark.createDataFrame(
+    grid = prc.price_list_state(cur_df).join(spark.createDataFrame(
         [(r["product_key"], r["product_key"], "t", r["Site_Key"], "S", r["Locale_Key"], "L", 1, "B", "", "", "c", "", r["Currency_Key"], r["Date"])
          for r in grid_rows],
         "product_key bigint, Product_Id bigint, Product_Title string, Site_Key int, Site string, Locale_Key int, "
         "Locale string, Brand_key bigint, Brand_Name string, Brand_Submarket string, Brand_Category string, "
         "Category string, Subcategory string, Currency_Key int, Date date",
-    )
+    ), list(KEYS), "right")
     got = {
         (r["Date"], r["product_key"], r["Locale_Key"], r["Valid_From"], r["Valid_To"], r["RRP"], r["Price"],
          r["Price_Check"], r["Campaign_Flag"])

@@ -976,7 +976,7 @@ _DOUBLE_PRICES = "* REPLACE (CAST(RRP AS DOUBLE) AS RRP, CAST(Price AS DOUBLE) A
 
 @register("sku_date_grid", _price_sql("SELECT * FROM cross_table_r0", runs=[0]))
 def q_sku_date_grid(spark, sf_dir):
-    return _price_run(spark, sf_dir, _price_windows[0])[0]
+    return _price_run(spark, sf_dir, _price_windows[0])[0].select(*prc.GRID_COLUMNS)
 
 
 @register("price_at_date", _price_sql(f"SELECT {_DOUBLE_PRICES} FROM final_r0", runs=[0]))
