@@ -1,0 +1,3 @@
+from tillroll.streaming.reload import partition_reload_sink
+
+__all__ = ["partition_reload_sink"]
