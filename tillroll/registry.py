@@ -410,7 +410,7 @@ TOP_BRAND = 4
 
 
 def _tx_new_brand(spark, sf_dir):
-    return canon.with_first_purchase_flag(_tx(spark, sf_dir), ["brand_id"], "is_new_brand")
+    return _tx(spark, sf_dir)  # the fact table carries is_new_brand
 
 
 _NEW_BRAND_CTE = """first_brand AS (

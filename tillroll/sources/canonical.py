@@ -125,6 +125,8 @@ _FACTS: dict[tuple[int, str], tuple[str, object]] = {}
 def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical order lines, written once per session into the shared
     checkpoint folder, partitioned by order month and sorted by date inside.
+    Besides the line columns it carries ``order_sequence`` and the
+    first-purchase flags ``is_new_brand`` / ``is_new_category``.
 
     The four-way join (and the order numbering) then runs once instead of once
     per analysis, and a date window reads only its months: every analysis
@@ -140,6 +142,10 @@ def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tillroll.session import shared_dir
 
         tx = transactions(spark, sf_dir, with_sequence=True)
+        # First-purchase flags need the whole history; computing them here
+        # once lets the analyses read only the months of their windows.
+        tx = with_first_purchase_flag(tx, ["brand_id"], "is_new_brand")
+        tx = with_first_purchase_flag(tx, ["category"], "is_new_category")
         path = shared_dir(spark, "fact_transactions")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         (
@@ -446,7 +452,11 @@ def price_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def daily_base(tx: DataFrame) -> DataFrame:
     """Order lines with measures, date key and a first-purchase-in-category
     flag, in the shape of the KPI fact table."""
-    m = with_first_purchase_flag(with_line_measures(tx), ["category"], "_new_cat")
+    m = with_line_measures(tx)
+    if "is_new_category" in m.columns:
+        m = m.withColumn("_new_cat", F.col("is_new_category"))
+    else:
+        m = with_first_purchase_flag(m, ["category"], "_new_cat")
     return m.select(
         F.date_format("order_date", "yyyyMMdd").cast("bigint").alias("date_key"),
         "order_month", "brand_id", "order_date", "order_id", "customer_id",
