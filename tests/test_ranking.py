@@ -18,3 +18,23 @@ def test_row_number_by_handles_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3)], "k bigint, id bigint")
     got = {r["id"]: r["rn"] for r in row_number_by(df, ["k"], ["id"], slices=3).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_row_number_by_shares_one_range_exchange(spark):
+    df = spark.createDataFrame([(i % 5, i) for i in range(500)], "k bigint, id bigint")
+    out = row_number_by(df, ["k"], ["id"], slices=4)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_row_number_by_without_exchange_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = [(0 if i % 3 else i % 7, i) for i in range(600)]
+        df = spark.createDataFrame(rows, "k bigint, id bigint")
+        got = row_number_by(df, ["k"], ["id"], slices=5)
+        want = df.withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy("id")))
+        assert got.select("id", "rn").exceptAll(want.select("id", "rn")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")

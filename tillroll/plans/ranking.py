@@ -11,6 +11,12 @@ in three bounded steps instead:
 3. add the row counts of the earlier slices of the same key.  Only keys that
    cross a slice border have such an offset, at most two per border, so the
    offset table is bounded by the number of slices and is broadcast.
+
+Steps 2 and 3 both read the range-partitioned rows; their slice ids agree
+because both read the *same* shuffle: the two branches are identical below
+the slice projection, so Spark reuses the exchange (``ReusedExchange``).  If
+exchange reuse is switched off, the ranged rows are checkpointed to the
+shared checkpoint folder first, which gives the same guarantee.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ def row_number_by(
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols).withColumn(
         "_slice", F.spark_partition_id()
     )
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        ranged = ranged.checkpoint(eager=True)
     local = ranged.withColumn(
         "_local_rn", F.row_number().over(W.partitionBy("_slice", *keys).orderBy(*order_cols))
     )
