@@ -118,3 +118,15 @@ def test_islands_and_compliance_flag(spark):
         (D(2000, 3, 21), 0, 10, 20, 0, 25, 35),
         (D(2000, 3, 31), 1, 5, 10, 0, 25, 35),
     ]
+
+
+def test_publish_compliance_replaces_table(spark):
+    from tillroll.session import shared_dir
+
+    base = shared_dir(spark, "compliance")
+    a = spark.createDataFrame([(1,)], "x int")
+    b = spark.createDataFrame([(2,), (3,)], "x int")
+    prc.publish_compliance(spark, a, "compliance_checker_test", base)
+    assert [r.x for r in spark.table("compliance_checker_test").collect()] == [1]
+    prc.publish_compliance(spark, b, "compliance_checker_test", base)
+    assert sorted(r.x for r in spark.table("compliance_checker_test").collect()) == [2, 3]

@@ -55,13 +55,12 @@ def order_offsets(base: DataFrame, entry: DataFrame) -> DataFrame:
         )
         .withColumn("order_year", F.year("order_date").cast("bigint"))
     )
-    numbered = row_number_by(
-        orders.select("customer_id", "order_id", "order_date", "order_sequence"),
-        ["customer_id"],
-        ["order_date", "order_sequence", "order_id"],
-    )
+    # The numbered orders keep their (small) columns, so the entry row and the
+    # offsets both come from one numbering, without joining the roll-up back.
+    numbered = row_number_by(orders, ["customer_id"], ["order_date", "order_sequence", "order_id"])
     lux_index = (
-        numbered.join(
+        numbered.select("customer_id", "order_date", "order_sequence", "rn")
+        .join(
             entry.withColumnRenamed("lux_date", "order_date").withColumnRenamed("lux_seq", "order_sequence"),
             ["customer_id", "order_date", "order_sequence"],
         )
@@ -69,8 +68,7 @@ def order_offsets(base: DataFrame, entry: DataFrame) -> DataFrame:
         .agg(F.min("rn").alias("lux_rn"))
     )
     return (
-        orders.join(numbered.select("customer_id", "order_id", "rn"), ["customer_id", "order_id"])
-        .join(lux_index, "customer_id")
+        numbered.join(lux_index, "customer_id")
         .select(
             "customer_id", "order_id", "order_date", "order_sequence", "brand_ids", "order_year",
             (F.col("rn") - F.col("lux_rn")).alias("order_from_lux"),

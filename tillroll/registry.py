@@ -1027,3 +1027,19 @@ def q_discount_days_category(spark, sf_dir):
 @register("campaign_compliance", _a7b_sql("SELECT * FROM compliance_checker"))
 def q_campaign_compliance(spark, sf_dir):
     return prc.campaign_compliance(daily_price_table(spark, sf_dir))
+
+
+@register(
+    "activity_gap_bounds",
+    O.with_tx(
+        """SELECT ROUND(avg_time, 6) AS avg_time, ROUND(std_dev, 6) AS std_dev,
+  ROUND(avg_time - 2 * std_dev, 6) AS lower_bound, ROUND(avg_time + 2 * std_dev, 6) AS upper_bound
+FROM stats""",
+        extra=_ACTIVITY_CTES,
+    ),
+)
+def q_activity_gap_bounds(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    customers = reo.customer_recency(tx, _wt, ACTIVITY_BRAND, None, **_ACT_OPTS)
+    bounds = reo.gap_bounds(reo.gap_stats(reo.order_gaps(tx, _wt, ACTIVITY_BRAND, None, **_ACT_OPTS), customers))
+    return bounds.select(*[F.round(c, 6).alias(c) for c in bounds.columns])
