@@ -12,6 +12,7 @@ in which partitions are combined.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,19 +142,25 @@ def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     if cached is None:
         from tillroll.session import shared_dir
 
-        tx = transactions(spark, sf_dir, with_sequence=True)
+        # The joined lines feed the row output and both first-purchase
+        # aggregates; keep them for the duration of this build only (a lost
+        # cached block is recomputed from lineage).
+        joined = transactions(spark, sf_dir, with_sequence=True).persist(StorageLevel.MEMORY_AND_DISK)
         # First-purchase flags need the whole history; computing them here
         # once lets the analyses read only the months of their windows.
-        tx = with_first_purchase_flag(tx, ["brand_id"], "is_new_brand")
+        tx = with_first_purchase_flag(joined, ["brand_id"], "is_new_brand")
         tx = with_first_purchase_flag(tx, ["category"], "is_new_category")
         path = shared_dir(spark, "fact_transactions")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (
-            tx.repartitionByRange(n, "order_date", "order_id")
-            .sortWithinPartitions("order_date")
-            .write.partitionBy("order_month")
-            .parquet(path)
-        )
+        try:
+            (
+                tx.repartitionByRange(n, "order_date", "order_id")
+                .sortWithinPartitions("order_date")
+                .write.partitionBy("order_month")
+                .parquet(path)
+            )
+        finally:
+            joined.unpersist()
         cached = (path, tx.schema)
         _FACTS[key] = cached
     path, schema = cached
