@@ -185,3 +185,19 @@ def test_bundle_weights_default_and_repeat(spark):
     got = {r["Child_Product_Id"]: (r["Child_Units"], r["Child_List_Revenue"], r["Bundle_List_Revenue"])
            for r in bun.bundle_revenue(lines, products, bundles, fix, flt).collect()}
     assert got == {11: (2, 50.0, 100.0), 12: (2, 100.0, 100.0)}
+
+
+def test_basket_rank_scope(spark):
+    """By default the top-k spans business units; optionally per unit."""
+    from tillroll.operators import basket as bsk
+
+    rows = []
+    for o, unit in [(1, "U1"), (2, "U1"), (3, "U2")]:
+        rows += [line(o, o, D(2000, 1, o), brand=1, product=1, unit=unit),
+                 line(o, o, D(2000, 1, o), brand=2, product=2 if unit == "U1" else 3, unit=unit)]
+    products = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "product_id bigint, product_title string")
+    df = tx(spark, rows)
+    one = bsk.basket_cross_sell(df, products, Y2000, [1], k=1).collect()
+    assert [(r["business_unit"], r["co_product_id"], r["orders_together"]) for r in one] == [("U1", 2, 2)]
+    per = bsk.basket_cross_sell(df, products, Y2000, [1], k=1, per_business_unit=True).collect()
+    assert sorted((r["business_unit"], r["co_product_id"]) for r in per) == [("U1", 2), ("U2", 3)]

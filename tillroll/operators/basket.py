@@ -67,16 +67,25 @@ def basket_pairs(tx: DataFrame, products: DataFrame, window: Window, target_bran
 
 
 def basket_cross_sell(
-    tx: DataFrame, products: DataFrame, window: Window, target_brands: Iterable[int], k: int = 3
+    tx: DataFrame,
+    products: DataFrame,
+    window: Window,
+    target_brands: Iterable[int],
+    k: int = 3,
+    per_business_unit: bool = False,
 ) -> DataFrame:
     """Top-k co-purchased products per target product (ROW_NUMBER <= k).
 
-    Ties are broken by unit, brands, product ids and titles so the cut is
-    deterministic.  The filter on the row number lets Spark keep only k rows
-    per product in each task before the shuffle (WindowGroupLimit).
+    By default the ranking spans all business units of a product, as in the
+    original report (rows still carry their unit); ``per_business_unit``
+    ranks within each unit instead.  Ties are broken by unit, brands, product
+    ids and titles so the cut is deterministic.  The filter on the row number
+    lets Spark keep only k rows per product in each task before the shuffle
+    (WindowGroupLimit).
     """
     pairs = basket_pairs(tx, products, window, target_brands)
-    w = W.partitionBy("target_product_id").orderBy(
+    part = ["business_unit", "target_product_id"] if per_business_unit else ["target_product_id"]
+    w = W.partitionBy(*part).orderBy(
         F.desc("orders_together"),
         "business_unit",
         "target_brand",
