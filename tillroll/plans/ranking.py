@@ -12,11 +12,12 @@ in three bounded steps instead:
    cross a slice border have such an offset, at most two per border, so the
    offset table is bounded by the number of slices and is broadcast.
 
-Steps 2 and 3 both read the range-partitioned rows; their slice ids agree
-because both read the *same* shuffle: the two branches are identical below
-the slice projection, so Spark reuses the exchange (``ReusedExchange``).  If
-exchange reuse is switched off, the ranged rows are checkpointed to the
-shared checkpoint folder first, which gives the same guarantee.
+Steps 2 and 3 both read the numbered slices, and their slice ids must agree.
+Two plan branches over one range repartition are not guaranteed to share its
+shuffle (column pruning can make them differ, and then each samples its own
+bounds), so the sliced, locally numbered rows are checkpointed once to the
+shared checkpoint folder and both steps read that copy.  The checkpoint also
+cuts lineage, so a lost executor never re-samples the bounds.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 
 def _num_slices(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -42,26 +45,19 @@ def row_number_by(
     """Add ``out`` = ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order).
 
     ``order`` must be a total order inside each key for a deterministic
-    result (same requirement as the window function).  Pass a narrow frame
-    (keys, order columns, row id); join wide payloads back afterwards.
+    result (same requirement as the window function).  Other columns pass
+    through; they are written once with the checkpoint, so keep them small.
     """
     n = slices or _num_slices(df)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols).withColumn(
         "_slice", F.spark_partition_id()
     )
-    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        ranged = ranged.checkpoint(eager=True)
     local = ranged.withColumn(
         "_local_rn", F.row_number().over(W.partitionBy("_slice", *keys).orderBy(*order_cols))
-    )
-    # The count branch reads every column of ``local`` so that both branches
-    # share one range exchange (ReusedExchange): slice bounds come from one
-    # sample and the slice ids of the two branches agree.
-    others = [c for c in local.columns if c not in ("_slice", *keys)]
-    per_slice = local.groupBy("_slice", *keys).agg(
-        F.max("_local_rn").alias("_n"), *[F.max(c).alias(f"_unused_{i}") for i, c in enumerate(others)]
-    ).select("_slice", *keys, "_n")
+    ).checkpoint(eager=True)
+    per_slice = local.groupBy("_slice", *keys).agg(F.max("_local_rn").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     renamed = {k: f"_o{i}" for i, k in enumerate(keys)}
     offsets = (
