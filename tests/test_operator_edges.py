@@ -201,3 +201,18 @@ def test_basket_rank_scope(spark):
     assert [(r["business_unit"], r["co_product_id"], r["orders_together"]) for r in one] == [("U1", 2, 2)]
     per = bsk.basket_cross_sell(df, products, Y2000, [1], k=1, per_business_unit=True).collect()
     assert sorted((r["business_unit"], r["co_product_id"]) for r in per) == [("U1", 2), ("U2", 3)]
+
+
+def test_basket_hot_order_salting_keeps_results(spark):
+    """A hot basket split over salts gives the same pair counts."""
+    from tillroll.operators import basket as bsk
+
+    rows = [line(1, 1, D(2000, 1, 1), brand=(1 if p < 15 else 2), product=p) for p in range(60)]
+    rows += [line(c, 100 + c, D(2000, 1, 2), brand=1, product=c % 15) for c in range(2, 40)]
+    rows += [line(c, 100 + c, D(2000, 1, 2), brand=2, product=15 + c % 20) for c in range(2, 40)]
+    products = spark.createDataFrame([(p, f"t{p}") for p in range(60)], "product_id bigint, product_title string")
+    df = tx(spark, rows)
+    plain = bsk.basket_pairs(df, products, Y2000, [1])
+    salted = bsk.basket_pairs(df, products, Y2000, [1], hot_basket_products=10, salts=4)
+    assert plain.count() > 0
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))

@@ -25,33 +25,56 @@ def basket_lines(tx: DataFrame, products: DataFrame, window: Window) -> DataFram
     )
 
 
-def basket_pairs(tx: DataFrame, products: DataFrame, window: Window, target_brands: Iterable[int]) -> DataFrame:
+def basket_pairs(
+    tx: DataFrame,
+    products: DataFrame,
+    window: Window,
+    target_brands: Iterable[int],
+    *,
+    hot_basket_products: int = 100_000,
+    salts: int = 64,
+) -> DataFrame:
     """Distinct orders holding each (target product, other product) pair.
 
     Only orders that hold a target-brand product take part (a semi join on
-    the order keys before the pair join).  The pair join is an equi join on
-    (unit, order); a huge basket is a skewed join key that adaptive execution
-    splits across tasks, and pairs are counted with a grouped distinct count
-    that is combined map-side.
+    the order keys before the pair join), and baskets are de-duplicated to one
+    row per distinct product.  The pair join is an equi join on (unit,
+    order); an order with more than ``hot_basket_products`` distinct products
+    is salted: its target rows are spread over ``salts`` groups by product
+    hash and its other rows are copied to every group, so its pair work runs
+    in ``salts`` tasks instead of one.  Other orders are not copied.  Pairs
+    are counted with a grouped distinct count combined map-side.
     """
     basket = basket_lines(tx, products, window)
     targets = basket.filter(F.col("brand_key").isin(list(target_brands)))
     keys = ["business_unit", "order_number"]
     co = basket.join(targets.select(*keys).distinct(), keys, "left_semi")
-    a = targets.select(
+    hot = (
+        co.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_basket_products)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+    a = targets.join(hot, keys, "left").select(
         *keys,
         F.col("brand_name").alias("target_brand"),
         F.col("product_id").alias("target_product_id"),
         F.col("product_title").alias("target_product_title"),
+        F.when(F.col("_hot"), F.pmod(F.xxhash64("product_id"), F.lit(salts))).otherwise(F.lit(0).cast("bigint")).alias("_salt"),
     )
-    b = co.select(
+    b = co.join(hot, keys, "left").select(
         *keys,
         F.col("brand_name").alias("co_brand"),
         F.col("product_id").alias("co_product_id"),
         F.col("product_title").alias("co_product_title"),
+        F.explode(
+            F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
+                F.array(F.lit(0).cast("bigint"))
+            )
+        ).alias("_salt"),
     )
     return (
-        a.join(b, keys)
+        a.join(b, [*keys, "_salt"])
         .filter(F.col("target_product_id") != F.col("co_product_id"))
         .groupBy(
             "business_unit",
@@ -73,6 +96,7 @@ def basket_cross_sell(
     target_brands: Iterable[int],
     k: int = 3,
     per_business_unit: bool = False,
+    **pair_options,
 ) -> DataFrame:
     """Top-k co-purchased products per target product (ROW_NUMBER <= k).
 
@@ -83,7 +107,7 @@ def basket_cross_sell(
     lets Spark keep only k rows per product in each task before the shuffle
     (WindowGroupLimit).
     """
-    pairs = basket_pairs(tx, products, window, target_brands)
+    pairs = basket_pairs(tx, products, window, target_brands, **pair_options)
     part = ["business_unit", "target_product_id"] if per_business_unit else ["target_product_id"]
     w = W.partitionBy(*part).orderBy(
         F.desc("orders_together"),
