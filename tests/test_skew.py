@@ -1,0 +1,27 @@
+from pyspark.sql import functions as F
+
+from tillroll.plans.skew import hot_keys, join_splitting_hot_keys
+
+
+def _frames(spark):
+    # key 7 holds a third of the rows; NULL keys never match.
+    big = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 101 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("k"),
+        F.col("id").alias("v"),
+    )
+    small = spark.createDataFrame([(k, f"s{k}") for k in range(0, 40)] + [(7, "seven-b")], "k bigint, s string")
+    return big, small
+
+
+def test_hot_key_list_is_bounded(spark):
+    big, _ = _frames(spark)
+    assert [r.k for r in hot_keys(big, ["k"], hot_rows=100).collect()] == [7]
+    assert hot_keys(big, ["k"], hot_rows=10, max_hot_keys=3).count() == 3
+
+
+def test_salted_join_equals_plain_join(spark):
+    big, small = _frames(spark)
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(tuple, big.join(small, ["k"], how).collect()), key=str)
+        got = sorted(map(tuple, join_splitting_hot_keys(big, small, ["k"], how, hot_rows=100, salts=5).collect()), key=str)
+        assert got == want, how

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
+from tillroll.plans.skew import join_splitting_hot_keys
 
 
 def basket_lines(tx: DataFrame, products: DataFrame, window: Window) -> DataFrame:
@@ -31,7 +32,7 @@ def basket_pairs(
     window: Window,
     target_brands: Iterable[int],
     *,
-    hot_basket_products: int = 100_000,
+    hot_basket_products: int = 10_000,
     salts: int = 64,
 ) -> DataFrame:
     """Distinct orders holding each (target product, other product) pair.
@@ -40,42 +41,30 @@ def basket_pairs(
     the order keys before the pair join), and baskets are de-duplicated to one
     row per distinct product.  The pair join is an equi join on (unit,
     order); an order with more than ``hot_basket_products`` distinct products
-    is salted: its target rows are spread over ``salts`` groups by product
-    hash and its other rows are copied to every group, so its pair work runs
-    in ``salts`` tasks instead of one.  Other orders are not copied.  Pairs
+    is salted (plans.skew): its target rows are spread over ``salts`` groups
+    by row hash and its other rows are copied to every group, so its pair work
+    runs in ``salts`` tasks instead of one.  Other orders are not copied.  Pairs
     are counted with a grouped distinct count combined map-side.
     """
     basket = basket_lines(tx, products, window)
     targets = basket.filter(F.col("brand_key").isin(list(target_brands)))
     keys = ["business_unit", "order_number"]
-    co = basket.join(targets.select(*keys).distinct(), keys, "left_semi")
-    hot = (
-        co.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_basket_products)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    a = targets.join(hot, keys, "left").select(
+    co = join_splitting_hot_keys(basket, targets.select(*keys).distinct(), keys, "left_semi")
+    a = targets.select(
         *keys,
         F.col("brand_name").alias("target_brand"),
         F.col("product_id").alias("target_product_id"),
         F.col("product_title").alias("target_product_title"),
-        F.when(F.col("_hot"), F.pmod(F.xxhash64("product_id"), F.lit(salts))).otherwise(F.lit(0).cast("bigint")).alias("_salt"),
     )
-    b = co.join(hot, keys, "left").select(
+    b = co.select(
         *keys,
         F.col("brand_name").alias("co_brand"),
         F.col("product_id").alias("co_product_id"),
         F.col("product_title").alias("co_product_title"),
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
-                F.array(F.lit(0).cast("bigint"))
-            )
-        ).alias("_salt"),
     )
+    pairs = join_splitting_hot_keys(a, b, keys, hot_rows=hot_basket_products, salts=salts)
     return (
-        a.join(b, [*keys, "_salt"])
-        .filter(F.col("target_product_id") != F.col("co_product_id"))
+        pairs.filter(F.col("target_product_id") != F.col("co_product_id"))
         .groupBy(
             "business_unit",
             "target_brand",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
 from tillroll.plans.ranking import row_number_by
+from tillroll.plans.skew import join_splitting_hot_keys
 
 # Submarket groups and order-type labels.
 MASS = ["Mass", "Masstige"]
@@ -46,7 +47,7 @@ def order_offsets(base: DataFrame, entry: DataFrame) -> DataFrame:
     join on (customer, date, sequence).
     """
     orders = (
-        base.join(entry.select("customer_id"), "customer_id", "left_semi")
+        join_splitting_hot_keys(base, entry.select("customer_id"), ["customer_id"], "left_semi")
         .groupBy("customer_id", "order_id")
         .agg(
             F.min("order_date").alias("order_date"),
@@ -68,7 +69,7 @@ def order_offsets(base: DataFrame, entry: DataFrame) -> DataFrame:
         .agg(F.min("rn").alias("lux_rn"))
     )
     return (
-        numbered.join(lux_index, "customer_id")
+        join_splitting_hot_keys(numbered, lux_index, ["customer_id"])
         .select(
             "customer_id", "order_id", "order_date", "order_sequence", "brand_ids", "order_year",
             (F.col("rn") - F.col("lux_rn")).alias("order_from_lux"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
+from tillroll.plans.skew import join_splitting_hot_keys
 
 EXCLUDED = ("US", "Australia")
 # Fixed value: the label for customers that fit no bucket.
@@ -144,8 +145,7 @@ def active_elsewhere(
         window, excluded_countries=excluded_countries, business_unit=business_unit, customer_not_null=True
     ) & (F.col("brand_id") != brand_id)
     return (
-        tx.filter(pred)
-        .join(lost, "customer_id")
+        join_splitting_hot_keys(tx.filter(pred), lost, ["customer_id"])
         .filter(F.col("order_date") > F.col("_last"))
         .groupBy(
             "customer_id",

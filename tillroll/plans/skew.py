@@ -1,0 +1,74 @@
+"""Equi-joins that split hot keys.
+
+Adaptive execution splits a skewed join partition only when both join inputs
+are plain shuffle stages.  When one side comes straight from an aggregate
+(one row per customer, per order, ...) it is already partitioned by the key,
+there is nothing to split, and every row of a hot key lands in one task.
+
+``join_splitting_hot_keys`` salts those keys instead:
+
+1. count rows per key on the big side (a grouped count, combined map-side)
+   and keep the ``max_hot_keys`` heaviest keys above ``hot_rows``; this list
+   has a hard size bound, so it is broadcast;
+2. rows of a hot key on the big side get a salt ``0..salts-1`` from a hash
+   of the row (deterministic, so a re-run task gets the same salt); rows of a
+   hot key on the small side are copied once per salt;
+3. join on (key, salt).  Rows of other keys keep salt 0 and join as usual.
+
+Keys beyond the list are still joined exactly, just without salting.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+SALTS = 64
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """The heaviest keys of ``big`` with more than ``hot_rows`` rows (at most
+    ``max_hot_keys`` of them), as (keys, _hot=True)."""
+    return (
+        big.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"))
+        .limit(max_hot_keys)
+        .select(*keys, F.lit(True).alias("_hot"))
+    )
+
+
+def join_splitting_hot_keys(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    *,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+    max_hot_keys: int = MAX_HOT_KEYS,
+) -> DataFrame:
+    """``big.join(small, keys, how)`` with hot keys of ``big`` split over
+    ``salts`` tasks.  ``small`` should hold few rows per key (it is copied
+    ``salts`` times for hot keys).  ``how``: inner, left or left_semi."""
+    keys = list(keys)
+    hot = F.broadcast(hot_keys(big, keys, hot_rows, max_hot_keys))
+    payload = [c for c in big.columns]
+    b = big.join(hot, keys, "left").withColumn(
+        "_salt",
+        F.when(F.col("_hot"), F.pmod(F.xxhash64(*payload), F.lit(salts))).otherwise(F.lit(0).cast("bigint")),
+    ).drop("_hot")
+    s = small.join(hot, keys, "left").withColumn(
+        "_salt",
+        F.explode(
+            F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
+                F.array(F.lit(0).cast("bigint"))
+            )
+        ),
+    ).drop("_hot")
+    return b.join(s, [*keys, "_salt"], how).drop("_salt")

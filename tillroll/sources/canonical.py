@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.plans.ranking import row_number_by
+from tillroll.plans.skew import join_splitting_hot_keys
 from tillroll.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -83,9 +84,16 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     part = read_table(spark, sf_dir, "part")
-    cust = customers_geo(spark, sf_dir)
-    tx = li.join(orders, li.l_orderkey == orders.o_orderkey).join(part, li.l_partkey == part.p_partkey)
-    tx = tx.join(cust, tx.o_custkey == cust.c_custkey)
+    cust = customers_geo(spark, sf_dir).withColumnRenamed("c_custkey", "o_custkey")
+    if with_sequence:
+        # one row per order on both sides: no key can be hot here
+        orders = orders.join(order_sequences(spark, sf_dir), "o_orderkey")
+    # Each join below is lines (or orders) against one row per key; a hot
+    # customer, order or product is split by salting (plans.skew).
+    orders = join_splitting_hot_keys(orders, cust, ["o_custkey"])
+    tx = join_splitting_hot_keys(li, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
+    tx = join_splitting_hot_keys(tx, part.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"])
+    tx = tx.withColumn("o_orderkey", F.col("l_orderkey")).withColumn("p_partkey", F.col("l_partkey"))
     cols = [
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderkey").alias("order_id"),
@@ -115,7 +123,6 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
         (F.col("l_returnflag") == "R").alias("is_gwp"),
     ]
     if with_sequence:
-        tx = tx.join(order_sequences(spark, sf_dir), "o_orderkey")
         cols.append("order_sequence")
     return tx.select(*cols)
 
@@ -196,9 +203,9 @@ def valid_base_filter() -> Column:
 def with_first_purchase_flag(tx: DataFrame, by: list[str], out: str) -> DataFrame:
     """``out`` = order_date is the customer's first valid purchase date for ``by``.
 
-    A grouped MIN (map-side combined) joined back on its keys; the join is
-    equi on (customer, *by) so a hot customer is split by adaptive skew-join
-    handling rather than landing in one task.
+    A grouped MIN (map-side combined) joined back on its keys; the aggregate
+    side is already partitioned by the key, so hot keys are salted
+    (plans.skew) rather than left to one task.
     """
     keys = ["customer_id", *by]
     first = (
@@ -207,7 +214,7 @@ def with_first_purchase_flag(tx: DataFrame, by: list[str], out: str) -> DataFram
         .agg(F.min("order_date").alias("_first_date"))
     )
     return (
-        tx.join(first, keys, "left")
+        join_splitting_hot_keys(tx, first, keys, "left")
         .withColumn(out, F.coalesce(F.col("order_date") == F.col("_first_date"), F.lit(False)))
         .drop("_first_date")
     )
