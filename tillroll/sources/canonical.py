@@ -128,6 +128,7 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
 
 
 _FACTS: dict[tuple[int, str], tuple[str, object]] = {}
+FACT_ROWS_PER_FILE = 5_000_000
 
 
 def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +165,8 @@ def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                 tx.repartitionByRange(n, "order_date", "order_id")
                 .sortWithinPartitions("order_date")
                 .write.partitionBy("order_month")
+                # bounded files however large a task's date range is
+                .option("maxRecordsPerFile", FACT_ROWS_PER_FILE)
                 .parquet(path)
             )
         finally:
