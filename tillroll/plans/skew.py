@@ -33,9 +33,14 @@ MAX_HOT_KEYS = 10_000
 def hot_keys(big: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """The heaviest keys of ``big`` with more than ``hot_rows`` rows (at most
     ``max_hot_keys`` of them), as (keys, _hot=True)."""
+    return hottest(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", hot_rows, max_hot_keys)
+
+
+def hottest(counts: DataFrame, keys: Sequence[str], count_col: str, hot_rows: int = HOT_ROWS,
+            max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """(keys, _hot=True) for the heaviest keys of a per-key count frame."""
     return (
-        big.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        counts.withColumnRenamed(count_col, "_n")
         .filter(F.col("_n") > hot_rows)
         .orderBy(F.desc("_n"))
         .limit(max_hot_keys)
@@ -52,12 +57,15 @@ def join_splitting_hot_keys(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     max_hot_keys: int = MAX_HOT_KEYS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``big.join(small, keys, how)`` with hot keys of ``big`` split over
     ``salts`` tasks.  ``small`` should hold few rows per key (it is copied
-    ``salts`` times for hot keys).  ``how``: inner, left or left_semi."""
+    ``salts`` times for hot keys).  ``how``: inner, left or left_semi.
+    ``hot`` may pass a precomputed key list (keys, _hot) of at most
+    ``max_hot_keys`` rows, e.g. from an aggregate the caller already runs."""
     keys = list(keys)
-    hot = F.broadcast(hot_keys(big, keys, hot_rows, max_hot_keys))
+    hot = F.broadcast(hot if hot is not None else hot_keys(big, keys, hot_rows, max_hot_keys))
     payload = [c for c in big.columns]
     b = big.join(hot, keys, "left").withColumn(
         "_salt",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.plans.ranking import row_number_by
-from tillroll.plans.skew import join_splitting_hot_keys
+from tillroll.plans.skew import hottest, join_splitting_hot_keys
 from tillroll.sources.tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -211,13 +211,15 @@ def with_first_purchase_flag(tx: DataFrame, by: list[str], out: str) -> DataFram
     (plans.skew) rather than left to one task.
     """
     keys = ["customer_id", *by]
-    first = (
-        tx.filter(valid_base_filter())
-        .groupBy(*keys)
-        .agg(F.min("order_date").alias("_first_date"))
+    # One aggregate gives both the first valid date and the key's row count
+    # (for the hot-key list of the join back).
+    first = tx.groupBy(*keys).agg(
+        F.min(F.when(valid_base_filter(), F.col("order_date"))).alias("_first_date"),
+        F.count(F.lit(1)).alias("_rows"),
     )
+    hot = hottest(first, keys, "_rows")
     return (
-        join_splitting_hot_keys(tx, first, keys, "left")
+        join_splitting_hot_keys(tx, first.drop("_rows"), keys, "left", hot=hot)
         .withColumn(out, F.coalesce(F.col("order_date") == F.col("_first_date"), F.lit(False)))
         .drop("_first_date")
     )
