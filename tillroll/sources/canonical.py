@@ -88,11 +88,15 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
     if with_sequence:
         # one row per order on both sides: no key can be hot here
         orders = orders.join(order_sequences(spark, sf_dir), "o_orderkey")
-    # Each join below is lines (or orders) against one row per key; a hot
-    # customer, order or product is split by salting (plans.skew).
-    orders = join_splitting_hot_keys(orders, cust, ["o_custkey"])
+    # Hot keys: in the customer and product joins both inputs reach the join
+    # through their own shuffle (or one side is broadcast), so adaptive
+    # skew-join handling can split a hot customer or product.  The orders
+    # side of the line join may already be partitioned by order key (after
+    # the sequence join), which leaves nothing for AQE to split, so a hot
+    # order is salted explicitly (plans.skew).
+    orders = orders.join(cust, "o_custkey")
     tx = join_splitting_hot_keys(li, orders.withColumnRenamed("o_orderkey", "l_orderkey"), ["l_orderkey"])
-    tx = join_splitting_hot_keys(tx, part.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"])
+    tx = tx.join(part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
     tx = tx.withColumn("o_orderkey", F.col("l_orderkey")).withColumn("p_partkey", F.col("l_partkey"))
     cols = [
         F.col("o_custkey").alias("customer_id"),
@@ -156,8 +160,7 @@ def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined = transactions(spark, sf_dir, with_sequence=True).persist(StorageLevel.MEMORY_AND_DISK)
         # First-purchase flags need the whole history; computing them here
         # once lets the analyses read only the months of their windows.
-        tx = with_first_purchase_flag(joined, ["brand_id"], "is_new_brand")
-        tx = with_first_purchase_flag(tx, ["category"], "is_new_category")
+        tx = with_first_purchase_flags(joined, {"is_new_brand": ["brand_id"], "is_new_category": ["category"]})
         path = shared_dir(spark, "fact_transactions")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         try:
@@ -203,26 +206,34 @@ def valid_base_filter() -> Column:
     )
 
 
-def with_first_purchase_flag(tx: DataFrame, by: list[str], out: str) -> DataFrame:
-    """``out`` = order_date is the customer's first valid purchase date for ``by``.
+def with_first_purchase_flags(tx: DataFrame, flags: dict[str, list[str]]) -> DataFrame:
+    """For each ``out -> by``: ``out`` = order_date is the customer's first
+    valid purchase date for ``by``.
 
-    A grouped MIN (map-side combined) joined back on its keys; the aggregate
-    side is already partitioned by the key, so hot keys are salted
-    (plans.skew) rather than left to one task.
+    Each first date is a grouped MIN over ``tx`` (map-side combined), whose
+    row counts also give the hot-key list; it is joined back on its keys.
+    The aggregate side is already partitioned by the key, so hot keys are
+    salted (plans.skew) rather than left to one task.  All aggregates read
+    ``tx`` itself and the joins are chained, so no input is computed twice.
     """
-    keys = ["customer_id", *by]
-    # One aggregate gives both the first valid date and the key's row count
-    # (for the hot-key list of the join back).
-    first = tx.groupBy(*keys).agg(
-        F.min(F.when(valid_base_filter(), F.col("order_date"))).alias("_first_date"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    hot = hottest(first, keys, "_rows")
-    return (
-        join_splitting_hot_keys(tx, first.drop("_rows"), keys, "left", hot=hot)
-        .withColumn(out, F.coalesce(F.col("order_date") == F.col("_first_date"), F.lit(False)))
-        .drop("_first_date")
-    )
+    out = tx
+    for name, by in flags.items():
+        keys = ["customer_id", *by]
+        first = tx.groupBy(*keys).agg(
+            F.min(F.when(valid_base_filter(), F.col("order_date"))).alias("_first_date"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
+        out = (
+            join_splitting_hot_keys(out, first.drop("_rows"), keys, "left", hot=hottest(first, keys, "_rows"))
+            .withColumn(name, F.coalesce(F.col("order_date") == F.col("_first_date"), F.lit(False)))
+            .drop("_first_date")
+        )
+    return out
+
+
+def with_first_purchase_flag(tx: DataFrame, by: list[str], out: str) -> DataFrame:
+    """One first-purchase flag (see ``with_first_purchase_flags``)."""
+    return with_first_purchase_flags(tx, {out: by})
 
 
 # ---------------------------------------------------------------------------
