@@ -301,10 +301,6 @@ order_diffs AS (
 )"""
 
 
-def _reorder_tx(spark, sf_dir):
-    return _tx(spark, sf_dir)
-
-
 _ACT_OPTS = dict(business_unit=None, excluded_countries=EXCLUDED)
 
 
