@@ -25,3 +25,16 @@ def test_salted_join_equals_plain_join(spark):
         want = sorted(map(tuple, big.join(small, ["k"], how).collect()), key=str)
         got = sorted(map(tuple, join_splitting_hot_keys(big, small, ["k"], how, hot_rows=100, salts=5).collect()), key=str)
         assert got == want, how
+
+
+def test_precomputed_hot_list_path(spark):
+    """The first-purchase flags pass a hot list built from their own aggregate."""
+    from tillroll.plans.skew import hottest
+
+    big, small = _frames(spark)
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    hot = hottest(counts, ["k"], "rows", hot_rows=100)
+    assert [r.k for r in hot.collect()] == [7]
+    want = sorted(map(tuple, big.join(small, ["k"], "left").collect()), key=str)
+    got = sorted(map(tuple, join_splitting_hot_keys(big, small, ["k"], "left", hot=hot, salts=3).collect()), key=str)
+    assert got == want
