@@ -40,8 +40,9 @@ def basket_pairs(
     Only orders that hold a target-brand product take part (a semi join on
     the order keys before the pair join), and baskets are de-duplicated to one
     row per distinct product.  The pair join is an equi join on (unit,
-    order); an order with more than ``hot_basket_products`` distinct products
-    is salted (plans.skew): its target rows are spread over ``salts`` groups
+    order); an order with more than ``hot_basket_products`` distinct
+    target-brand products (the side whose size multiplies the pair count) is
+    salted (plans.skew): its target rows are spread over ``salts`` groups
     by row hash and its other rows are copied to every group, so its pair work
     runs in ``salts`` tasks instead of one.  Other orders are not copied.  Pairs
     are counted with a grouped distinct count combined map-side.
