@@ -42,20 +42,32 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "til
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder.
+
+    Read from the session (``spark.checkpoint.dir`` or the context's
+    checkpoint folder); only when neither is set (local tests) a scratch
+    folder is created and given to the SparkContext.  The conf itself is
+    never changed (Spark rejects changing it at runtime).
+    """
+    sc = _context(spark)
+    current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not current:
         current = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (for written tables)."""
-    base = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
+    sc = _context(spark)
+    base = (sc.getCheckpointDir() if sc else None) or ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
