@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import decontamination, langid, quality
+from tillroll.llm import decontamination, langid, pii, quality
 from tillroll.sources.tables import read_table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, d):
 
 
 QUERIES = {
+    "op10_pii": lambda s, d: pii.op10_pii(_docs(s, d)),
     "op3_quality": lambda s, d: quality.op3_quality(_docs(s, d)),
     "op8_language_id": lambda s, d: langid.op8_language_id(_docs(s, d)),
     "op6_decontaminate": lambda s, d: decontamination.op6_decontaminate(_docs(s, d), read_table(s, d, "benchmark")),
