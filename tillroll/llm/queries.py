@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import decontamination, langid, pii, quality, toxicity
+from tillroll.llm import decontamination, langid, packing, pii, quality, toxicity
 from tillroll.sources.tables import read_table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, d):
 
 
 QUERIES = {
+    "op5_pack": lambda s, d: packing.op5_pack(_docs(s, d)),
     "op1_toxicity": lambda s, d: toxicity.op1_toxicity(_docs(s, d), read_table(s, d, "labels")),
     "op10_pii": lambda s, d: pii.op10_pii(_docs(s, d)),
     "op3_quality": lambda s, d: quality.op3_quality(_docs(s, d)),
