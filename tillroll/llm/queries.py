@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import decontamination, langid, packing, pii, quality, toxicity
+from tillroll.llm import decontamination, html_extract, jaccard_join, langid, packing, pii, quality, toxicity
 from tillroll.sources.tables import read_table
 
 
@@ -11,6 +11,8 @@ def _docs(spark, d):
 
 
 QUERIES = {
+    "op2_jaccard_join": lambda s, d: jaccard_join.op2_jaccard_join(_docs(s, d)),
+    "op7_extract": lambda s, d: html_extract.op7_extract(read_table(s, d, "pages")),
     "op5_pack": lambda s, d: packing.op5_pack(_docs(s, d)),
     "op1_toxicity": lambda s, d: toxicity.op1_toxicity(_docs(s, d), read_table(s, d, "labels")),
     "op10_pii": lambda s, d: pii.op10_pii(_docs(s, d)),
