@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import decontamination, html_extract, jaccard_join, langid, packing, pii, quality, suffix_dedup, toxicity
+from tillroll.llm import decontamination, html_extract, jaccard_join, langid, lm_scoring, packing, pii, quality, suffix_dedup, toxicity
 from tillroll.sources.tables import read_table
 
 
@@ -11,6 +11,7 @@ def _docs(spark, d):
 
 
 QUERIES = {
+    "op4_lm_score": lambda s, d: lm_scoring.op4_lm_score(_docs(s, d)),
     "op9_suffix_dedup": lambda s, d: suffix_dedup.op9_suffix_dedup(_docs(s, d)),
     "op2_jaccard_join": lambda s, d: jaccard_join.op2_jaccard_join(_docs(s, d)),
     "op7_extract": lambda s, d: html_extract.op7_extract(read_table(s, d, "pages")),
