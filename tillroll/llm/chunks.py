@@ -23,8 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import map_rows
-from tillroll.session import shared_dir
+from tillroll.llm.common import map_rows, saved
 
 CHUNK_BYTES = 2 << 20
 PART_BYTES = 4 << 20  # text a part stands for
@@ -40,13 +39,6 @@ def expand(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 class Docs:
     """The documents of a chunk row."""
 

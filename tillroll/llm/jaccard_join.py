@@ -36,8 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import map_rows
-from tillroll.session import shared_dir
+from tillroll.llm.common import map_rows, saved
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -197,13 +196,7 @@ def _paths(reps: DataFrame, steps: int, first: int) -> DataFrame:
     return map_rows(reps, "key long, rep long", run)
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast if it has at most BROADCAST_ROWS rows, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -233,7 +226,7 @@ def _bucket_links(members: DataFrame, reps: DataFrame) -> DataFrame:
 def candidate_links(reps: DataFrame, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """Candidate links (a, b) between the sets of ``reps`` (rep, sig)."""
     found = []
-    paths = _saved(_paths(reps, DEPTHS[0], runs(recall)), "chosen-paths")
+    paths = saved(_paths(reps, DEPTHS[0], runs(recall)), "chosen-paths")
     for level, depth in enumerate(DEPTHS):
         size = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).where("size > 1")
         members = paths.join(size, "key")
@@ -247,7 +240,7 @@ def candidate_links(reps: DataFrame, recall: float = RECALL, small: int = SMALL)
         else:
             found.append(_bucket_links(members.where(F.col("size") <= small).select("key", "rep"), reps))
             large = members.where(F.col("size") > small).select("key", "rep").join(reps.select("rep", "sig"), "rep")
-            paths = _saved(_paths(large, DEPTHS[level + 1] - depth, 0), "chosen-paths")
+            paths = saved(_paths(large, DEPTHS[level + 1] - depth, 0), "chosen-paths")
     links = found[0]
     for f in found[1:]:
         links = links.union(f)
@@ -258,12 +251,12 @@ def components(links: DataFrame) -> DataFrame:
     """(v, class): the smallest id reachable over links (a, b), for every id
     with a link.  Labels spread along the links until none changes; each round
     is written, so a lost executor costs one round."""
-    both = _saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = _saved(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("class"), F.lit(True).alias("new")), "labels")
+    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = saved(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("class"), F.lit(True).alias("new")), "labels")
     while labels.where("new").limit(1).count():
         told = both.join(labels.select(F.col("v").alias("b"), "class", "new").where("new").drop("new"), "b").groupBy(F.col("a").alias("v")).agg(F.min("class").alias("m"))
         step = labels.drop("new").join(told, "v", "left")
-        labels = _saved(step.select("v", F.least("class", "m").alias("class"), F.coalesce(F.col("m") < F.col("class"), F.lit(False)).alias("new")), "labels")
+        labels = saved(step.select("v", F.least("class", "m").alias("class"), F.coalesce(F.col("m") < F.col("class"), F.lit(False)).alias("new")), "labels")
     return labels.drop("new")
 
 
@@ -302,8 +295,8 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     size = members.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(size, "class").select("rep", "class", "copies", blocks.alias("nb"))
-    placed = _saved(placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")), "placed")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_small(placed), "rep")
+    placed = saved(placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")), "placed")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(small(placed), "rep")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
 
     def to_sets(batches):
@@ -344,12 +337,12 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL, small: int = SMALL)
     """One row for each row of ``docs`` (doc_id, text): class_id (smallest id
     linked directly or through others) and n_links (other documents with a
     similarity of ``THRESHOLD`` or more)."""
-    signed = _saved(_signed(docs), "signed")
+    signed = saved(_signed(docs), "signed")
     sets = signed.where("doc_id is not null and n > 0").groupBy("hi", "lo")
-    reps = _saved(sets.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    reps = saved(sets.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
     near = components(candidate_links(reps, recall, small)).withColumnRenamed("v", "rep")
     members = near.join(reps.select("rep", "copies", "n"), "rep")
-    found = _saved(_verified(docs, members), "verified")
+    found = saved(_verified(docs, members), "verified")
     classes = components(found.where("mate is not null").select(F.col("rep").alias("a"), F.col("mate").alias("b"))).withColumnRenamed("v", "rep")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     result = reps.select("hi", "lo", "rep", "copies").join(classes.join(counts, "rep"), "rep", "left").select("hi", "lo", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

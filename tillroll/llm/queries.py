@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tillroll.llm import decontamination, html_extract, jaccard_join, langid, lm_scoring, packing, pii, quality, suffix_dedup, toxicity
 from tillroll.sources.tables import read_table
 
@@ -11,6 +12,7 @@ def _docs(spark, d):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op4_lm_score": lambda s, d: lm_scoring.op4_lm_score(_docs(s, d)),
     "op9_suffix_dedup": lambda s, d: suffix_dedup.op9_suffix_dedup(_docs(s, d)),
     "op2_jaccard_join": lambda s, d: jaccard_join.op2_jaccard_join(_docs(s, d)),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import chunks as C
-from tillroll.llm.common import map_rows
+from tillroll.llm.common import map_rows, saved
 
 WINDOW = 50
 GRAM = 16
@@ -213,7 +213,7 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
             yield {"part": [g[0]["part"]] * len(got), "chunk": [c for c, _ in got], "blob": [b for _, b in got]}
 
     sent = C.meet(chunks, anchors, C.ASKED, second_round).repartition("part").sortWithinPartitions("part", "chunk")
-    windows = C.saved(map_rows(sent, C.ASKED, reply), "answers")
+    windows = saved(map_rows(sent, C.ASKED, reply), "answers")
 
     def last(row, parts):
         d, found = _second(row, parts, bits)
