@@ -203,16 +203,12 @@ def test_basket_rank_scope(spark):
     assert sorted((r["business_unit"], r["co_product_id"]) for r in per) == [("U1", 2), ("U2", 3)]
 
 
-def test_basket_hot_order_salting_keeps_results(spark):
-    """A hot basket split over salts gives the same pair counts."""
+def test_basket_counts_a_product_once_per_order(spark):
+    """Repeated lines of a product, and two brand keys of one product, count an order once."""
     from tillroll.operators import basket as bsk
 
-    rows = [line(1, 1, D(2000, 1, 1), brand=(1 if p < 15 else 2), product=p) for p in range(60)]
-    rows += [line(c, 100 + c, D(2000, 1, 2), brand=1, product=c % 15) for c in range(2, 40)]
-    rows += [line(c, 100 + c, D(2000, 1, 2), brand=2, product=15 + c % 20) for c in range(2, 40)]
-    products = spark.createDataFrame([(p, f"t{p}") for p in range(60)], "product_id bigint, product_title string")
-    df = tx(spark, rows)
-    plain = bsk.basket_pairs(df, products, Y2000, [1])
-    salted = bsk.basket_pairs(df, products, Y2000, [1], hot_basket_products=10, salts=4)
-    assert plain.count() > 0
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
+    rows = [line(1, 1, D(2000, 1, 1), brand=1, product=1)] * 3 + [line(1, 1, D(2000, 1, 1), brand=2, product=2)] * 2
+    rows += [line(2, 2, D(2000, 1, 2), brand=1, product=1), line(2, 2, D(2000, 1, 2), brand=2, product=2), line(3, 3, D(2000, 1, 3), brand=2, product=2)]
+    products = spark.createDataFrame([(1, "a"), (2, "b")], "product_id bigint, product_title string")
+    got = bsk.basket_pairs(tx(spark, rows), products, Y2000, [1]).collect()
+    assert [(r["target_product_id"], r["co_product_id"], r["co_product_title"], r["orders_together"]) for r in got] == [(1, 2, "b", 2)]

@@ -10,72 +10,53 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
-from tillroll.plans.skew import join_splitting_hot_keys
+from tillroll.plans.written import written
 
+BASKET = ["business_unit", "order_number"]
 
-def basket_lines(tx: DataFrame, products: DataFrame, window: Window) -> DataFrame:
-    """Distinct (unit, order, brand, product, title) of valid lines.
+
+def basket_lines(tx: DataFrame, window: Window, target_brands: Iterable[int]) -> DataFrame:
+    """Distinct (unit, order, brand name, product) of valid lines, and whether
+    the product is of a target brand (B25, B26).
 
     Deduplicating first caps a huge basket at one row per distinct product.
     """
     lines = tx.filter(valid_line(window, not_gift=False) & ~F.col("is_gwp"))
-    return (
-        lines.select("business_unit", "order_number", "brand_key", "brand_name", "product_id")
-        .join(products.select("product_id", "product_title"), "product_id")
-        .distinct()
-    )
+    target = F.max(F.col("brand_key").isin(list(target_brands)))
+    return lines.groupBy(*BASKET, "brand_name", "product_id").agg(target.alias("is_target"))
 
 
-def basket_pairs(
-    tx: DataFrame,
-    products: DataFrame,
-    window: Window,
-    target_brands: Iterable[int],
-    *,
-    hot_basket_products: int = 10_000,
-    salts: int = 64,
-) -> DataFrame:
-    """Distinct orders holding each (target product, other product) pair.
+def _pair_counts(tx: DataFrame, window: Window, target_brands: Iterable[int]) -> DataFrame:
+    """Orders with each (target product, other product) pair, without titles.
 
-    Only orders that hold a target-brand product take part (a semi join on
-    the order keys before the pair join), and baskets are de-duplicated to one
-    row per distinct product.  The pair join is an equi join on (unit,
-    order); an order with more than ``hot_basket_products`` distinct
-    target-brand products (the side whose size multiplies the pair count) is
-    salted (plans.skew): its target rows are spread over ``salts`` groups
-    by row hash and its other rows are copied to every group, so its pair work
-    runs in ``salts`` tasks instead of one.  Other orders are not copied.  Pairs
-    are counted with a grouped distinct count combined map-side.
+    The basket is written once and read as both inputs of the pair join, so
+    both are plain scans and Spark can split a large order on either side
+    (plans.written).  A product occurs once in an order, so counting rows
+    counts orders, combined map-side: pairs cross the network once.
     """
-    basket = basket_lines(tx, products, window)
-    targets = basket.filter(F.col("brand_key").isin(list(target_brands)))
-    keys = ["business_unit", "order_number"]
-    co = join_splitting_hot_keys(basket, targets.select(*keys).distinct(), keys, "left_semi")
-    a = targets.select(
-        *keys,
-        F.col("brand_name").alias("target_brand"),
-        F.col("product_id").alias("target_product_id"),
-        F.col("product_title").alias("target_product_title"),
+    basket = written(basket_lines(tx, window, target_brands), "basket")
+    a = basket.filter("is_target").select(*BASKET, F.col("brand_name").alias("target_brand"), F.col("product_id").alias("target_product_id"))
+    b = basket.select(*BASKET, F.col("brand_name").alias("co_brand"), F.col("product_id").alias("co_product_id"))
+    return (
+        a.join(b, BASKET)
+        .filter(F.col("target_product_id") != F.col("co_product_id"))
+        .groupBy("business_unit", "target_brand", "target_product_id", "co_brand", "co_product_id")
+        .agg(F.count(F.lit(1)).alias("orders_together"))
     )
-    b = co.select(
-        *keys,
-        F.col("brand_name").alias("co_brand"),
-        F.col("product_id").alias("co_product_id"),
-        F.col("product_title").alias("co_product_title"),
+
+
+def _with_titles(pairs: DataFrame, products: DataFrame) -> DataFrame:
+    title = lambda side: products.select(
+        F.col("product_id").alias(f"{side}_product_id"), F.col("product_title").alias(f"{side}_product_title")
     )
-    pairs = join_splitting_hot_keys(a, b, keys, hot_rows=hot_basket_products, salts=salts)
-    return (
-        pairs.filter(F.col("target_product_id") != F.col("co_product_id"))
-        .groupBy(
-            "business_unit",
-            "target_brand",
-            "target_product_id",
-            "target_product_title",
-            "co_brand",
-            "co_product_id",
-            "co_product_title",
-        )
-        .agg(F.countDistinct("order_number").alias("orders_together"))
+    return pairs.join(title("target"), "target_product_id").join(title("co"), "co_product_id")
+
+
+def basket_pairs(tx: DataFrame, products: DataFrame, window: Window, target_brands: Iterable[int]) -> DataFrame:
+    """Distinct orders holding each (target product, other product) pair.
+    ``products`` has a row per product_id."""
+    return _with_titles(_pair_counts(tx, window, target_brands), products).select(
+        "business_unit", "target_brand", "target_product_id", "target_product_title", "co_brand", "co_product_id", "co_product_title", "orders_together"
     )
 
 
@@ -86,30 +67,20 @@ def basket_cross_sell(
     target_brands: Iterable[int],
     k: int = 3,
     per_business_unit: bool = False,
-    **pair_options,
 ) -> DataFrame:
     """Top-k co-purchased products per target product (ROW_NUMBER <= k).
 
     By default the ranking spans all business units of a product, as in the
     original report (rows still carry their unit); ``per_business_unit``
-    ranks within each unit instead.  Ties are broken by unit, brands, product
-    ids and titles so the cut is deterministic.  The filter on the row number
+    ranks within each unit instead.  Ties are broken by unit, brands and
+    product ids so the cut is deterministic.  The filter on the row number
     lets Spark keep only k rows per product in each task before the shuffle
-    (WindowGroupLimit).
+    (WindowGroupLimit); titles join the k rows.
     """
-    pairs = basket_pairs(tx, products, window, target_brands, **pair_options)
+    pairs = _pair_counts(tx, window, target_brands)
     part = ["business_unit", "target_product_id"] if per_business_unit else ["target_product_id"]
-    w = W.partitionBy(*part).orderBy(
-        F.desc("orders_together"),
-        "business_unit",
-        "target_brand",
-        "target_product_title",
-        "co_brand",
-        "co_product_id",
-        "co_product_title",
-    )
-    return (
-        pairs.withColumn("rank", F.row_number().over(w).cast("bigint"))
-        .filter(F.col("rank") <= k)
-        .orderBy("business_unit", "target_product_id", F.desc("orders_together"))
-    )
+    w = W.partitionBy(*part).orderBy(F.desc("orders_together"), "business_unit", "target_brand", "co_brand", "co_product_id")
+    top = pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return _with_titles(top, products).select(
+        "business_unit", "target_brand", "target_product_id", "target_product_title", "co_brand", "co_product_id", "co_product_title", "orders_together", "rank"
+    ).orderBy("business_unit", "target_product_id", F.desc("orders_together"))

@@ -30,7 +30,7 @@ def qualified_orders(
         brand_ids=brand_ids,
     )
     return tx.filter(pred).select(
-        "business_unit", "site", "site_id", "region", "customer_id", "order_id",
+        "business_unit", "site", "site_id", "region", "customer_id", "order_id", "order_sequence",
         F.year("order_date").cast("bigint").alias("order_year"), "order_date", "category",
         F.lit(1).alias("is_lux_order"),
     )

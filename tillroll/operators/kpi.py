@@ -22,7 +22,7 @@ from tillroll.sources.partitioned import replace_partitions
 DIMS = [
     "business_unit", "country_group", "region", "site", "brand_submarket", "category", "subcategory",
     "brand_name", "brand_category", "warehouse_name", "external_reporting_flag", "is_gwp",
-    "us_category", "us_subcategory",
+    "us_category", "us_subcategory", "partnership_flag",
 ]
 SUM_KPIS = [
     "rrp_revenue", "list_revenue", "gross_revenue", "net_revenue", "shipping_revenue",
@@ -102,16 +102,25 @@ def kpi_preaggregate(daily_base: DataFrame, periods: DataFrame, brand_attr: Data
     is broadcast.  The join also matches the month key, the partition column
     of the fact table, so dynamic partition pruning reads only the months the
     calendar holds.
+
+    Three grouped sums instead of distinct counts on raw lines: an order's
+    lines, a customer's orders, then the customers (an order has one customer),
+    so no line is multiplied and each step is combined map-side.
     """
     f = daily_base.join(F.broadcast(periods.drop("order_date")), ["date_key", "order_month"]).join(
         brand_attr, "brand_id", "left"
     )
     keys = ["period_ty", "period_ly", "period_ly_al", "calendar_year_month", *dims]
-    return f.groupBy(*keys).agg(
-        F.countDistinct("order_id").alias("orders"),
-        *[F.sum(k).alias(k) for k in SUM_KPIS],
-        F.countDistinct("customer_id").alias("total_customers"),
-        F.countDistinct(F.when(F.col("new_category") == 1, F.col("customer_id"))).alias("new_to_category_customers"),
+    sums = [F.sum(k).alias(k) for k in SUM_KPIS]
+    per_order = f.groupBy(*keys, "customer_id", "order_id").agg(*sums, F.max("new_category").alias("new_category"))
+    per_customer = per_order.groupBy(*keys, "customer_id").agg(
+        F.count("order_id").alias("orders"), *sums, F.max("new_category").alias("new_category")
+    )
+    return per_customer.groupBy(*keys).agg(
+        F.sum("orders").alias("orders"),
+        *sums,
+        F.count("customer_id").alias("total_customers"),
+        F.count(F.when(F.col("new_category") == 1, F.col("customer_id"))).alias("new_to_category_customers"),
     )
 
 

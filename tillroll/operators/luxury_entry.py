@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
 from tillroll.plans.ranking import row_number_by
-from tillroll.plans.skew import join_splitting_hot_keys
+from tillroll.plans.written import written
 
 # Submarket groups and order-type labels.
 MASS = ["Mass", "Masstige"]
@@ -33,7 +33,7 @@ def entry_event(base: DataFrame, brand_ids: Iterable[int], category: str) -> Dat
     return (
         base.filter(F.col("brand_id").isin(list(brand_ids)) & (F.col("category") == category))
         .groupBy("customer_id")
-        .agg(F.min("order_sequence").alias("lux_seq"), F.min("order_date").alias("lux_date"))
+        .agg(F.min("order_sequence").alias("entry_sequence"), F.min("order_date").alias("entry_date"))
     )
 
 
@@ -46,8 +46,9 @@ def order_offsets(base: DataFrame, entry: DataFrame) -> DataFrame:
     into range slices, not sent to one task).  The entry row is found with a
     join on (customer, date, sequence).
     """
+    entry = written(entry, "luxury-entries")
     orders = (
-        join_splitting_hot_keys(base, entry.select("customer_id"), ["customer_id"], "left_semi")
+        base.join(entry.select("customer_id"), "customer_id", "left_semi")
         .groupBy("customer_id", "order_id")
         .agg(
             F.min("order_date").alias("order_date"),
@@ -59,20 +60,20 @@ def order_offsets(base: DataFrame, entry: DataFrame) -> DataFrame:
     # The numbered orders keep their (small) columns, so the entry row and the
     # offsets both come from one numbering, without joining the roll-up back.
     numbered = row_number_by(orders, ["customer_id"], ["order_date", "order_sequence", "order_id"])
-    lux_index = (
+    entry_rows = (
         numbered.select("customer_id", "order_date", "order_sequence", "rn")
         .join(
-            entry.withColumnRenamed("lux_date", "order_date").withColumnRenamed("lux_seq", "order_sequence"),
+            entry.withColumnRenamed("entry_date", "order_date").withColumnRenamed("entry_sequence", "order_sequence"),
             ["customer_id", "order_date", "order_sequence"],
         )
         .groupBy("customer_id")
-        .agg(F.min("rn").alias("lux_rn"))
+        .agg(F.min("rn").alias("entry_rn"))
     )
     return (
-        join_splitting_hot_keys(numbered, lux_index, ["customer_id"])
+        numbered.join(written(entry_rows, "entry-rows"), "customer_id")
         .select(
             "customer_id", "order_id", "order_date", "order_sequence", "brand_ids", "order_year",
-            (F.col("rn") - F.col("lux_rn")).alias("order_from_lux"),
+            (F.col("rn") - F.col("entry_rn")).alias("order_from_lux"),
         )
     )
 

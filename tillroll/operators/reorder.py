@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
-from tillroll.plans.skew import join_splitting_hot_keys
+from tillroll.plans.written import written
 
 EXCLUDED = ("US", "Australia")
 # Fixed value: the label for customers that fit no bucket.
@@ -109,8 +109,8 @@ def gap_bounds(stats: DataFrame) -> DataFrame:
 
 def activity_buckets(customers: DataFrame, stats: DataFrame) -> DataFrame:
     """Active / Lapsing / Lapsed by days since last order against the gap
-    statistics (B9).  ``stats`` is one global-aggregate row; it is attached
-    with a broadcast equi-join on a constant key (one row to ship)."""
+    statistics (B9).  ``stats`` is one global-aggregate row, so the cross join
+    adds columns, not rows."""
     d = F.col("days_since_last_order")
     avg, sd = F.col("avg_time"), F.col("std_dev")
     bucket = (
@@ -119,12 +119,8 @@ def activity_buckets(customers: DataFrame, stats: DataFrame) -> DataFrame:
         .when(d > avg + sd, "Lapsed")
         .otherwise(NO_BUCKET)
     )
-    one = F.lit(1).alias("_one")
-    return (
-        customers.select("*", one)
-        .join(F.broadcast(stats.select("*", one)), "_one")
-        .select("customer_id", "last_order_date", bucket.alias("activity_bucket"))
-    )
+    joined = customers.crossJoin(F.broadcast(stats))
+    return joined.select("customer_id", "last_order_date", bucket.alias("activity_bucket"))
 
 
 def active_elsewhere(
@@ -137,7 +133,8 @@ def active_elsewhere(
     excluded_countries=EXCLUDED,
 ) -> DataFrame:
     """Orders of Lapsing/Lapsed customers at other brands after their last
-    order of the brand (B10)."""
+    order of the brand (B10).  The lost customers (a row each) are written, so
+    that the lines of a hot customer can be split (plans.written)."""
     lost = buckets.filter(F.col("activity_bucket").isin("Lapsed", "Lapsing")).select(
         "customer_id", F.col("last_order_date").alias("_last")
     )
@@ -145,7 +142,9 @@ def active_elsewhere(
         window, excluded_countries=excluded_countries, business_unit=business_unit, customer_not_null=True
     ) & (F.col("brand_id") != brand_id)
     return (
-        join_splitting_hot_keys(tx.filter(pred), lost, ["customer_id"])
+        tx.filter(pred)
+        .select("customer_id", "order_id", "order_date", "category", "brand_id", "brand_name")
+        .join(written(lost, "lost-customers"), "customer_id")
         .filter(F.col("order_date") > F.col("_last"))
         .groupBy(
             "customer_id",

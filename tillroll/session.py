@@ -21,6 +21,7 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -53,13 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint folder); only when neither is set (local tests) a scratch
-    folder is created and given to the SparkContext.  The conf itself is
-    never changed (Spark rejects changing it at runtime).
+    checkpoint folder); only when neither is set and the master is local
+    (tests) a scratch folder is created and given to the SparkContext; on a
+    cluster a missing setting is an error, since executors do not share local
+    folders.  The conf itself is never changed (Spark rejects changing it at
+    runtime).
     """
     sc = _context(spark)
     current = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not current:
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
