@@ -1,0 +1,156 @@
+"""Language-model scores and substring deduplication by brute force."""
+
+import hashlib
+import math
+import random
+from binascii import crc32
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.frames import edge_rows, frame, prose
+from tillroll.llm import chunks as C
+from tillroll.llm import lm_scoring as L
+from tillroll.llm import suffix_dedup as S
+
+TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def toks(t):
+    return (t or "").encode().translate(TABLE).split() + [None]
+
+
+def corpus(seed, n):
+    rng = random.Random(seed)
+    return [(100 + i, prose(rng, rng.randint(1, 200)).capitalize(), "en") for i in range(n)] + edge_rows()
+
+
+def test_base_and_model_scores(spark):
+    rows = corpus(31, 150)
+    kinds = {d: None if d is None else crc32(str(d).encode()) % 10 for d, _, _ in rows}
+    got = sorted(L.op4_lm_score(frame(spark, rows, "extra")).collect(), key=lambda r: (str(r.doc_id), r.score))
+    train = [toks(t) for d, t, _ in rows if kinds[d] not in (None, 0)]
+    dev = [toks(t) for d, t, _ in rows if kinds[d] == 1]
+    rest = [toks(t) for d, t, _ in rows if kinds[d] not in (None, 0, 1)]
+
+    def model(docs):
+        c = Counter(w for t in docs for w in t)
+        b = Counter(p for t in docs for p in zip(["<s>", *t], t))
+        return c, b, sum(c.values()), len(c), len(docs)
+
+    def parts(m, v, w):
+        c, b, n, _, d = m
+        k = d if v == "<s>" else c[v]
+        return int(L.bucket(np.array([k]))[0]), b[v, w] / k if k else 0.0, c[w] / n
+
+    m = model(rest)
+    cells = Counter()
+    for t in dev:
+        for v, w in zip(["<s>", *t], t):
+            k, p2, p1 = parts(m, v, w)
+            cells[k, int(L._cell(np.array([p2]))[0]), int(L._cell(np.array([p1]))[0])] += 1
+    weights = L.learn(np.array([(*k, n) for k, n in sorted(cells.items())]), 1 / (m[3] + 1))
+    m = c, _, n, size, _ = model(train)
+    want = []
+    for d, t, _ in rows:
+        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (size + 1))) for w in toks(t))
+        score = 0.0
+        for v, w in zip(["<s>", *toks(t)], toks(t)):
+            k, p2, p1 = parts(m, v, w)
+            score += math.log10(weights[k] @ [p2, p1, 1 / (size + 1)])
+        want.append((d, kinds[d] == 0, len(toks(t)), sum(c[w] > 0 for w in toks(t)), n, base, score))
+    want.sort(key=lambda r: (str(r[0]), r[6]))
+    for g, w in zip(got, want, strict=True):
+        assert tuple(g)[:5] == w[:5]
+        assert g.base_score == pytest.approx(w[5], rel=1e-9) and g.score == pytest.approx(w[6], rel=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.RandomState(1)
+    h = np.array([(b, rng.randint(0, 20), rng.randint(1, 30), rng.randint(1, 50)) for b in range(10) for _ in range(5)])
+    w = L.learn(h, 1e-4)
+    assert w.sum(axis=1) == pytest.approx(np.ones(len(w))) and (w >= 0).all() and w[0, 0] == 0
+
+
+def test_expectation_maximisation_raises_the_likelihood():
+    rng = np.random.RandomState(2)
+    h = np.array([(5, rng.randint(0, 12), rng.randint(5, 40), rng.randint(1, 50)) for _ in range(60)])
+    value = np.concatenate([[0.0], 2.0 ** (-(np.arange(L.CELLS - 1) + 0.5) / L.CELL)])
+    p = np.stack([value[h[:, 1]], value[h[:, 2]], np.full(len(h), 1e-5)], axis=1)
+    like = lambda w: (h[:, 3] * np.log(p @ w)).sum()
+    best = L.learn(h, 1e-5)[5]
+    assert all(like(best) >= like(np.array(w)) - 1e-3 for w in ([0.6, 0.3, 0.1], [0.3, 0.6, 0.1], [0.8, 0.15, 0.05]))
+
+
+def brute_dedup(rows):
+    first, out = {}, []
+    data = [(d, (t or "").encode()) for d, t, _ in rows]
+    for d, t in data:
+        if d is not None:
+            for i in range(len(t) - 49):
+                w = t[i : i + 50]
+                first[w] = min(first.get(w, d), d)
+    for d, t in data:
+        cover = bytearray(len(t))
+        if d is not None:
+            for i in range(len(t) - 49):
+                if first[t[i : i + 50]] < d:
+                    cover[i : i + 50] = b"\1" * 50
+        spans = sum(1 for a, b in zip(b"\0" + bytes(cover), cover) if b and not a)
+        kept = bytes(x for x, c in zip(t, cover) if not c)
+        out.append((d, len(t), sum(cover), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chunk_bytes", [2000, 1 << 20])
+def test_dedup_matches_brute_force(spark, chunk_bytes):
+    rng = random.Random(33)
+    shared = [prose(rng, n) for n in (8, 9, 12, 60)]
+    rows = []
+    for i in rng.sample(range(100, 400), 90):
+        t = prose(rng, rng.randint(1, 60))
+        if rng.random() < 0.7:
+            p = rng.choice(shared)
+            a = rng.randrange(len(p))
+            t = t[: rng.randrange(len(t) + 1)] + p[a : a + rng.choice([49, 50, 51, 400])] + t
+        rows.append((i, t, "en"))
+    rows += [(500, rows[0][1], "en"), (3, rows[1][1], "en"), (501, "é" * 24 + "ab", "en"), (502, "x" + "é" * 24 + "ab", "en")] + edge_rows()[:10]
+    got = S.deduplicate(frame(spark, rows, "extra"), chunk_bytes).drop("spans").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
+
+
+def test_names_are_equal_for_equal_windows_only():
+    rng = random.Random(34)
+    data = (prose(rng, 400) * 2).encode()
+    anchors, names = S.names(data)
+    seen = {}
+    for i in range(len(data) - 49):
+        w = data[i : i + 50]
+        assert seen.setdefault(w, (anchors[i], names[i])) == (anchors[i], names[i])
+    assert len({x[1] for x in seen.values()}) == len(seen) and len(names) == len(data) - 49
+
+
+def test_chunks_keep_every_document(spark):
+    rows = corpus(35, 60)
+    df = frame(spark, rows).withColumn("kind", F.lit(0))
+    got = []
+    for r in C.write_chunks(df, 3000).collect():
+        d = C.Docs(r.asDict())
+        got += list(zip(d.ids.tolist(), d.texts()))
+    assert sorted(got) == sorted((C.NULL_ID if d is None else d, (t or "").encode()) for d, t, _ in rows)
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24])
+def test_keys_survive_their_parts(bits):
+    keys = np.unique(np.random.RandomState(3).randint(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(4))
+    low = np.uint64((1 << (64 - bits)) - 1)
+    for part, at in C.pack_keys(keys, bits):
+        assert ((keys[at] >> np.uint64(64 - bits)) == part).all()
+        assert (C.keys_from(C.key_bytes(keys[at], bits), bits) == (keys[at] & low)).all()
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "a", "en")]).limit(0)
+    assert L.op4_lm_score(none).collect() == [] and S.op9_suffix_dedup(none).collect() == []

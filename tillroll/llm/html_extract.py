@@ -114,6 +114,9 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[_Node, ...]], list[_N
             continue
         if tag in ("img", "input", "wbr"):
             continue
+        if tag in _RAW_END:  # not shown, so it does not end a block
+            at = at if m.group(1) else _RAW_END[tag].search(page, at).end()
+            continue
         flush()
         if m.group(1):
             for i in range(len(stack) - 1, 0, -1):
@@ -131,10 +134,6 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[_Node, ...]], list[_N
                 break
         if tag in VOID:
             continue
-        if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end()
-            continue
         if m.group(3).endswith("/") and tag in ("svg", "path", "g"):
             continue
         node = _open(stack[-1], tag, m.group(3), len(blocks))
@@ -153,7 +152,9 @@ def _contents(blocks: list[str], nodes: list[_Node]) -> dict[int, tuple[int, int
     one page at the same path are taken together."""
     n = len(blocks) + 1
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[1], np.full(n, _BASE)]).astype(np.uint64))
+        power = np.full(n + 1, _BASE, dtype=np.uint64)
+        power[0] = 1
+        power = np.cumprod(power, dtype=np.uint64)
         prefix = np.zeros(n, dtype=np.uint64)
         for i, b in enumerate(blocks):
             prefix[i + 1] = prefix[i] * _BASE + np.uint64(xxhash.xxh64_intdigest(b))
