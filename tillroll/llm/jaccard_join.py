@@ -15,8 +15,8 @@ probability ``RECALL``.
 Brute force on the coordinates links candidates (estimate at least
 ``ESTIMATE``).  Their groups are then compared exactly on whole shingle sets,
 in blocks of ``BLOCK`` sets, each pair of blocks one unit of work, so that a
-group of any size spreads over tasks; only counts and a spanning tree of the
-verified links leave a block pair, never all pairs.  Equal sets are one set
+group of any size spreads over tasks; only counts and each set's link to the
+smallest set of its part leave a block pair, never all pairs.  Equal sets are one set
 from the start (``copies``).
 
 Defined cases: a text of fewer than 5 words is one shingle of all its words;
@@ -138,10 +138,10 @@ def _groups(batches, key: str):
         yield held
 
 
-def _tree(link: np.ndarray) -> list[tuple[int, int]]:
-    """(member, parent) of a binary tree through each connected part of a
-    boolean matrix: the smallest position is the root, no member has more than
-    three links, and a label needs few steps to reach all."""
+def _stars(link: np.ndarray) -> list[tuple[int, int]]:
+    """(member, smallest position of its connected part) of a boolean matrix,
+    for all members but the smallest.  Sets that meet in many buckets mostly
+    meet with the same smallest set, so few different links are left."""
     left, out = set(range(len(link))), []
     while left:
         seen, todo = set(), [left.pop()]
@@ -151,8 +151,8 @@ def _tree(link: np.ndarray) -> list[tuple[int, int]]:
             more = [int(y) for y in np.flatnonzero(link[x]) if y in left]
             left.difference_update(more)
             todo += more
-        part = sorted(seen)
-        out += [(part[i], part[(i - 1) // 2]) for i in range(1, len(part))]
+        first = min(seen)
+        out += [(x, first) for x in sorted(seen) if x != first]
     return out
 
 
@@ -216,7 +216,7 @@ def _bucket_links(members: DataFrame, reps: DataFrame) -> DataFrame:
             same = np.zeros((len(rep), len(rep)), dtype=np.int16)
             for c in range(T):
                 same += s[:, c, None] == s[None, :, c]
-            got = _tree(same >= ESTIMATE * T)
+            got = _stars(same >= ESTIMATE * T)
             if got:
                 yield {"a": [int(rep[i]) for i, _ in got], "b": [int(rep[j]) for _, j in got]}
 
@@ -291,8 +291,8 @@ def _pair_matrix(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(rep, links, mate) of exact comparisons within ``members`` (rep, class,
-    copies, n): per block pair, the linked documents of a set and its parent in
-    the tree of its part there (null for the root)."""
+    copies, n): per block pair, the linked documents of a set and the
+    smallest set of its part there (null for itself)."""
     size = members.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("m > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(size, "class").select("rep", "class", "copies", blocks.alias("nb"))
@@ -325,7 +325,7 @@ def _verified(docs: DataFrame, members: DataFrame) -> DataFrame:
             np.fill_diagonal(link, False)
             count = link @ np.array(g["copies"], dtype=np.int64)
             rep = np.array(g["rep"], dtype=np.int64)
-            mate = dict(_tree(link))
+            mate = dict(_stars(link))
             on = np.flatnonzero(count)
             if len(on):
                 yield {"rep": rep[on], "links": count[on], "mate": [int(rep[mate[i]]) if i in mate else None for i in on.tolist()]}
