@@ -116,20 +116,35 @@ def test_dedup_matches_brute_force(spark, chunk_bytes):
             a = rng.randrange(len(p))
             t = t[: rng.randrange(len(t) + 1)] + p[a : a + rng.choice([49, 50, 51, 400])] + t
         rows.append((i, t, "en"))
+    rows += [(450, "ab" * 60, "en"), (451, "x" + "ab" * 40 + "y", "en"), (449, "ab" * 24 + "c", "en"), (452, "0123456789" * 9, "en"), (453, "56789" + "0123456789" * 7, "en")]
     rows += [(500, rows[0][1], "en"), (3, rows[1][1], "en"), (501, "é" * 24 + "ab", "en"), (502, "x" + "é" * 24 + "ab", "en")] + edge_rows()[:10]
     got = S.deduplicate(frame(spark, rows, "extra"), chunk_bytes).drop("spans").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_dedup(rows)
 
 
-def test_names_are_equal_for_equal_windows_only():
+def test_equal_windows_have_equal_anchors():
     rng = random.Random(34)
     data = (prose(rng, 400) * 2).encode()
-    anchors, names = S.names(data)
-    seen = {}
+    grams, anchors = S.names(data)
+    seen, of = {}, {}
     for i in range(len(data) - 49):
         w = data[i : i + 50]
-        assert seen.setdefault(w, (anchors[i], names[i])) == (anchors[i], names[i])
-    assert len({x[1] for x in seen.values()}) == len(seen) and len(names) == len(data) - 49
+        assert seen.setdefault(w, anchors[i]) == anchors[i] == min(grams[i : i + 35])
+    for i in range(len(data) - 15):
+        assert of.setdefault(grams[i], data[i : i + 16]) == data[i : i + 16]
+    assert len(anchors) == len(data) - 49
+
+
+def test_places_of_anchors():
+    t = (b"0123456789" * 30) + prose(random.Random(36), 80).encode()
+    g, m = S.names(t)
+    on, place, p, rows = S._places(t, g, m, np.unique(m))
+    assert on.tolist() == list(range(len(m)))
+    for i, x in zip(on.tolist(), place.tolist()):
+        assert i <= x <= i + S.SIDE and g[x] == m[i] and m[i] not in g[i:x]
+    for x, r in zip(p.tolist(), rows):
+        left, right = t[max(0, x - S.SIDE) : x], t[x + 16 : x + 16 + S.SIDE]
+        assert bytes(r[10 : 10 + S.SIDE])[S.SIDE - r[8] :] == left and bytes(r[10 + S.SIDE :])[: r[9]] == right
 
 
 def test_chunks_keep_every_document(spark):

@@ -10,9 +10,11 @@ that covers it lies in a bucket with a smaller doc_id.
 Most buckets are found to be single without naming their windows to others: of
 a window's 35 16-byte names the smallest is its anchor, equal windows have
 equal anchors, and a first round asks only which anchors occur in several
-documents (about one anchor for 18 bytes).  The second round asks about the
-windows with such anchors.  Whole documents take part in the first round as
-well: exact copies of a document with a smaller id need no second round.
+documents (about one anchor for 18 bytes).  The second round sends, for each
+place of such an anchor, the ``SIDE`` bytes on either side; the windows around
+the anchor are named and compared where the places meet, 35 for every place
+sent.  Whole documents take part in the first round as well: exact copies of a
+document with a smaller id need no second round.
 
 Defined cases: null text is empty; a document shorter than a window keeps all;
 documents with a null id keep all and remove nothing elsewhere; equal ids do
@@ -34,6 +36,7 @@ from tillroll.llm.common import map_rows, saved
 
 WINDOW = 50
 GRAM = 16
+SIDE = WINDOW - GRAM  # bytes on either side of an anchor that its windows can reach
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -48,7 +51,7 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors and bucket names of all windows of a byte string."""
+    """The 16-byte names of a byte string, and the anchors of its windows."""
     n = len(data) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
@@ -58,16 +61,13 @@ def names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             x = x[:-k] | x[k:] << np.uint64(8 * k)
         g16 = _join(x[:-8], x[8:])
         del x
-        g32 = _join(g16[:-GRAM], g16[GRAM:])
-        g50 = _join(g32[: -(WINDOW - 32)], g32[WINDOW - 32 :])
-        del g32
         span = WINDOW - GRAM + 1  # 16-byte names inside a window
         m, k = g16, 1
         while 2 * k <= span:
             m = np.minimum(m[:-k], m[k:])
             k *= 2
         m = np.minimum(m[: n], m[span - k : span - k + n])
-    return m, g50
+    return g16, m
 
 
 def _digest(t: bytes) -> int:
@@ -75,7 +75,7 @@ def _digest(t: bytes) -> int:
 
 
 def _named(docs: C.Docs):
-    """(id, position in the chunk, text, anchors, windows) of the documents that take part."""
+    """(position in the chunk, id, text, 16-byte names, anchors) of the documents that take part."""
     for i, (doc, t) in enumerate(zip(docs.ids.tolist(), docs.texts())):
         if doc != C.NULL_ID and len(t) >= WINDOW:
             yield i, doc, t, *names(t)
@@ -157,23 +157,109 @@ def _copies(docs: C.Docs) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int,
     return *_firsts([np.array([h], dtype=np.uint64) for h in own.values()], ids), own
 
 
+def _places(t: bytes, g16: np.ndarray, m: np.ndarray, hot: np.ndarray):
+    """Windows of a text whose anchor is in ``hot``: their starts, the places
+    of their anchors (the first at or after the start), and for each distinct
+    place a row: name, bytes to the left and right that there are, the bytes."""
+    at = np.searchsorted(hot, m)
+    on = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == m)
+    of = np.searchsorted(hot, g16)
+    cand = np.flatnonzero(hot[np.minimum(of, len(hot) - 1)] == g16)
+    n = len(g16) + 1
+    keys = np.sort(of[cand].astype(np.int64) * n + cand)
+    place = keys[np.searchsorted(keys, at[on].astype(np.int64) * n + on)] % n
+    p = np.unique(place)
+    rows = np.zeros((len(p), 10 + 2 * SIDE), dtype=np.uint8)
+    rows[:, :8] = g16[p].astype(">u8").view(np.uint8).reshape(-1, 8)
+    rows[:, 8] = np.minimum(p, SIDE)
+    rows[:, 9] = np.minimum(len(t) - GRAM - p, SIDE)
+    padded = np.frombuffer(bytes(SIDE) + t + bytes(SIDE), dtype=np.uint8)
+    side = np.concatenate([np.arange(SIDE), np.arange(SIDE + GRAM, 2 * SIDE + GRAM)])
+    rows[:, 10:] = padded[p[:, None] + side]
+    return on, place, p, rows
+
+
 def _second(row: dict, parts: dict[int, bytes], bits: int):
-    """Documents of a chunk after round one: (position, id, text, is a copy of
-    a smaller id, windows still to ask about)."""
+    """Documents of a chunk after round one: by position whether it is a copy
+    of a smaller id, or its places; and the chunk's distinct rows with their
+    smallest id."""
     docs = C.Docs(row)
     keys, low, _, own = _copies(docs)
     _, smaller = _answers(parts, 1, keys, bits)
     gone = {i for i, h in own.items() for at in (int(np.searchsorted(keys, np.uint64(h))),) if smaller[at] or docs.ids[i] > low[at]}
     named = list(_named(docs))
-    anchors = np.unique(np.concatenate([np.unique(x[3]) for x in named])) if named else np.zeros(0, dtype=np.uint64)
+    anchors = np.unique(np.concatenate([np.unique(x[4]) for x in named])) if named else np.zeros(0, dtype=np.uint64)
     shared, _ = _answers(parts, 0, anchors, bits)
     hot = anchors[shared]
-    out = []
-    for i, doc, t, m, w in named:
-        at = np.searchsorted(hot, m)
-        on = np.flatnonzero((at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == m)) if len(hot) and i not in gone else np.zeros(0, dtype=np.int64)
-        out.append((i, doc, t, i in gone, on, w[on]))
-    return docs, out
+    found = {i: _places(t, g16, m, hot) for i, _, t, g16, m in named if i not in gone} if len(hot) else {}
+    found = {i: x for i, x in found.items() if len(x[0])}
+    order = sorted(found, key=lambda i: docs.ids[i])
+    rows = np.concatenate([found[i][3] for i in order]) if order else np.zeros((0, 10 + 2 * SIDE), dtype=np.uint8)
+    ids = np.repeat(np.array([docs.ids[i] for i in order], dtype=np.int64), [len(found[i][2]) for i in order])
+    _, first, at = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(found[i][2]) for i in order])
+    where = {i: at[e - len(found[i][2]) : e] for i, e in zip(order, ends)}
+    return docs, gone, found, where, rows[first], ids[first]
+
+
+def _sides(rows: np.ndarray, ids: np.ndarray, bits: int):
+    """Questions of round two: (part, blob) of sorted distinct rows."""
+    keys = np.ascontiguousarray(rows[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+    for part, at in C.pack_keys(keys, bits):
+        n, low = at.stop - at.start, int(ids[at].min())
+        head = np.array([n, low], dtype=np.int64).tobytes()
+        off = np.ascontiguousarray((ids[at] - low).view(np.uint8).reshape(n, 8).T).tobytes()
+        yield 2 << 32 | part, head + C.key_bytes(keys[at], bits) + C.squeeze(off + rows[at, 8:10].T.tobytes() + rows[at, 10:].tobytes(), 9)
+
+
+def _windows(asked: list[tuple[int, bytes]], bits: int):
+    """To each chunk, for each of its rows and each window around the anchor:
+    does a document with a smaller id than the row's have the window."""
+    keys, ids, left, right, sides, sizes = [], [], [], [], [], []
+    for _, b in asked:
+        n, low = np.frombuffer(b[:16], dtype=np.int64).tolist()
+        w = (8 - bits // 8) * n
+        keys.append(C.keys_from(b[16 : 16 + w], bits))
+        rest = np.frombuffer(C.expand(b[16 + w :]), dtype=np.uint8)
+        ids.append(np.ascontiguousarray(rest[: 8 * n].reshape(8, n).T).reshape(-1).view(np.int64) + low)
+        left.append(rest[8 * n : 9 * n])
+        right.append(rest[9 * n : 10 * n])
+        sides.append(rest[10 * n :].reshape(n, 2 * SIDE))
+        sizes.append(n)
+    k, d, lo, hi = np.concatenate(keys), np.concatenate(ids), np.concatenate(left), np.concatenate(right)
+    side = np.concatenate(sides)
+    flags = np.zeros((len(k), SIDE + 1), dtype=bool)
+    with np.errstate(over="ignore"):
+        # names of the 34 bytes beside the anchor, from sums over the row
+        total = np.zeros((len(k), 2 * SIDE + 1), dtype=np.uint64)
+        for i in range(2 * SIDE):
+            total[:, i + 1] = total[:, i] * _A + side[:, i] + np.uint64(1)
+        power = np.uint64(1)
+        for _ in range(SIDE):
+            power = power * _A
+        for o in range(SIDE + 1):  # the window starts o bytes before the anchor
+            on = np.flatnonzero((lo >= o) & (hi >= SIDE - o))
+            if len(on) < 2:
+                continue
+            name = _join(k[on] * _B + np.uint64(o), total[on, 2 * SIDE - o] - total[on, SIDE - o] * power)
+            order = np.argsort(name, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+            least = np.repeat(np.minimum.reduceat(d[on][order], start), np.diff(np.concatenate([start, [len(on)]])))
+            flags[on[order], o] = least < d[on][order]
+    pos = 0
+    for (chunk, _), n in zip(asked, sizes):
+        yield chunk, C.squeeze(np.packbits(flags[pos : pos + n], axis=1).T.tobytes())
+        pos += n
+
+
+def _flags(parts: dict[int, bytes], rows: np.ndarray, bits: int) -> np.ndarray:
+    """The answers of round two for a chunk's rows."""
+    keys = np.ascontiguousarray(rows[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+    out = np.zeros((len(rows), SIDE + 1), dtype=bool)
+    for part, at in C.pack_keys(keys, bits):
+        b = np.frombuffer(C.expand(parts[2 << 32 | part]), dtype=np.uint8).reshape(-1, at.stop - at.start).T
+        out[at] = np.unpackbits(b, axis=1, count=SIDE + 1)
+    return out
 
 
 def _spans(n: int, starts: np.ndarray) -> list[tuple[int, int]]:
@@ -194,7 +280,7 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
 
     def first_round(row):
         d = C.Docs(row)
-        named = [(np.unique(m), doc) for _, doc, _, m, _ in _named(d)]
+        named = [(np.unique(m), doc) for _, doc, _, _, m in _named(d)]
         keys, _, several = _firsts([m for m, _ in named], [doc for _, doc in named])
         # an anchor only asks whether others have it: the chunk stands for its documents
         yield from _asked(keys, np.full(len(keys), row["chunk"]), several, 0, bits)
@@ -203,33 +289,29 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     anchors = C.ask(chunks, first_round, lambda part, asked: _judged(asked, bits))
 
     def second_round(row, parts):
-        _, found = _second(row, parts, bits)
-        got = list(_asked(*_firsts([x[5] for x in found if len(x[5])], [x[1] for x in found if len(x[5])]), 2, bits))
+        got = list(_sides(*_second(row, parts, bits)[4:], bits))
         return {"part": [p for p, _ in got], "chunk": [row["chunk"]] * len(got), "blob": [b for _, b in got]}
 
     def reply(batches):
         for g in C.grouped(C.rows_of(batches), "part"):
-            got = list(_judged([(r["chunk"], r["blob"]) for r in g], bits))
+            got = list(_windows([(r["chunk"], r["blob"]) for r in g], bits))
             yield {"part": [g[0]["part"]] * len(got), "chunk": [c for c, _ in got], "blob": [b for _, b in got]}
 
     sent = C.meet(chunks, anchors, C.ASKED, second_round).repartition("part").sortWithinPartitions("part", "chunk")
     windows = saved(map_rows(sent, C.ASKED, reply), "answers")
 
     def last(row, parts):
-        d, found = _second(row, parts, bits)
-        keys, low, _ = _firsts([x[5] for x in found if len(x[5])], [x[1] for x in found if len(x[5])])
-        _, smaller = _answers(parts, 2, keys, bits)
+        d, gone, found, where, rows, low = _second(row, parts, bits)
+        flags = _flags(parts, rows, bits)
         out: dict = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-        seen = {x[0]: x for x in found}
         for i, (doc, t) in enumerate(zip(d.ids.tolist(), d.texts())):
             spans: list = []
-            if i in seen:
-                _, _, _, copy, on, w = seen[i]
-                if copy:
-                    spans = [(0, len(t))]
-                elif len(on):
-                    at = np.searchsorted(keys, w)
-                    spans = _spans(len(t), on[smaller[at] | (low[at] < doc)])
+            if i in gone:
+                spans = [(0, len(t))]
+            elif i in found:
+                on, place, p, _ = found[i]
+                at = where[i][np.searchsorted(p, place)]
+                spans = _spans(len(t), on[flags[at, place - on] | (low[at] < doc)])
             kept, pos = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(t[pos:a])
