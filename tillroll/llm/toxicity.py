@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import is_fold, with_columns
 
-MAX_TOXIC = 3000
-MAX_CLEAN = 6000
+MAX_TOXIC = 2000
+MAX_CLEAN = 4000
 MIN_SUPPORT = 4  # toxic documents with a feature before it counts
 PURITY = 0.75  # least share of toxic documents among those with a feature, at equal class sizes
 DEVIATION = 4.0  # standard deviations by which its toxic share exceeds chance
@@ -231,7 +231,7 @@ def train(docs: list[tuple[str, int]]) -> Model:
         for n, w, y, r, i, f in sets:
             mask = np.arange(y.shape[1]) < n[:, None]
             e = np.where(mask, theta[len(names)], 0.0)
-            np.add.at(e, (r, i), theta[f])
+            e += np.bincount(r * y.shape[1] + i, weights=theta[f], minlength=e.size).reshape(e.shape)
             p, pairs, _ = forward_backward(e, n, trans)
             miss = (y - p) * mask * w[:, None]
             grad[: len(names)] += np.bincount(f, weights=miss[r, i], minlength=len(names)) / total
