@@ -18,6 +18,7 @@ a null id is allowed and sorts first; an empty table gives no piece.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 
@@ -45,21 +46,49 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class _Words(dict):
     """{word between ASCII spaces: its ids as little-endian uint32}.  The
     tokenizer never joins across ASCII white space, so a text's ids are its
-    words' ids in order."""
+    words' ids in order.  Nor does it join Latin letters and the marks after
+    them, so a word like ``Then,!`` is the ids of ``then`` and of ``,!``: far
+    fewer different strings are tokenised than there are words."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
+        self.last = np.zeros(1 << 17, dtype=bool)  # ids that end a piece
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.last[i] = token.endswith("</w>")
+
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """The ids of strings that are one piece each: tokenised as one text, cut
+        where an id ends a piece."""
+        e = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[e]) + 1
+        if len(ends) != len(new):  # not met with this tokenizer; then one by one
+            return self._words(new)
+        b, cut = e.tobytes(), [0, *(4 * ends).tolist()]
+        return [b[i:j] for i, j in zip(cut, cut[1:])]
+
+    def _words(self, new: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.keys())
+        new = words - self.keys()
         if len(self) + len(new) > _CACHE_WORDS:
             self.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update(zip(part, (np.array(e.ids, dtype="<u4").tobytes() for e in got)))
+            new = words
+        if len(self.parts) > _CACHE_WORDS:
+            self.parts.clear()
+        split = [(w, *_split(w)) for w in new]
+        parts = self.parts
+        stems = {s for _, s, _, one in split if one and s not in parts}
+        odd = {s for _, s, _, one in split if not one and s not in parts}
+        stems.update(m for _, _, m, _ in split if m and m not in parts)
+        for todo, encode in ((list(stems), self._pieces), (list(odd), self._words)):
+            for at in range(0, len(todo), 20_000):
+                parts.update(zip(todo[at : at + 20_000], encode(todo[at : at + 20_000])))
+        for w, s, m, _ in split:
+            self[w] = parts[s] + parts[m] if m else parts[s]
 
     def ids(self, texts: list) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
@@ -71,28 +100,38 @@ class _Words(dict):
         return out
 
 
-def hilbert(cell: np.ndarray, bits: int) -> int:
-    """Position of an integer cell on the Hilbert curve (Skilling's transform)."""
-    x = [int(v) for v in cell]
-    n, top = len(x), 1 << (bits - 1)
-    q = top
-    while q > 1:
-        for i in range(n):
-            if x[i] & q:
-                x[0] ^= q - 1
-            else:
-                t = (x[0] ^ x[i]) & (q - 1)
-                x[0] ^= t
-                x[i] ^= t
-        q >>= 1
-    for i in range(1, n):
-        x[i] ^= x[i - 1]
-    t, q = 0, top
-    while q > 1:
-        if x[-1] & q:
-            t ^= q - 1
-        q >>= 1
-    out = 0
+#: Marks after a word that start no contraction and no special token.
+_MARKS = ".,!?;:|*%$&#"
+
+
+def _split(word: bytes) -> tuple[str, str, bool]:
+    """A word as lower-cased Latin letters and the marks after them, both one
+    piece to the tokenizer (True); any other word whole (False)."""
+    w = word.decode("utf-8", "replace")
+    stem = w.rstrip(_MARKS)
+    low = stem.lower()
+    if low.isalpha() and stem.isalpha() and max(stem) < "\u0250" and max(low) < "\u0250":
+        return low, w[len(stem) :], True
+    return w, "", False
+
+
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Positions of integer cells [n, dims] on the Hilbert curve (Skilling's transform)."""
+    x = [c.astype(np.int64) for c in cells.T]
+    for b in range(bits - 1, 0, -1):
+        q = 1 << b
+        for i in range(len(x)):
+            on = (x[i] & q) != 0
+            t = np.where(on, 0, (x[0] ^ x[i]) & (q - 1))
+            x[0] = np.where(on, x[0] ^ (q - 1), x[0] ^ t)
+            if i:
+                x[i] = x[i] ^ t
+    for i in range(1, len(x)):
+        x[i] = x[i] ^ x[i - 1]
+    t = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):
+        t = np.where(x[-1] & (1 << b), t ^ ((1 << b) - 1), t)
+    out = np.zeros_like(t)
     for b in range(bits - 1, -1, -1):
         for v in x:
             out = out << 1 | ((v ^ t) >> b & 1)
@@ -105,14 +144,16 @@ def _plane() -> tuple[np.ndarray, np.ndarray]:
     return rng.randint(0, BUCKETS, size=1 << 16), rng.standard_normal((BUCKETS, DIMS))
 
 
-def curve_key(ids: np.ndarray, bucket: np.ndarray, plane: np.ndarray) -> int:
-    """Hilbert number of a document's hashed, centred and scaled vector."""
-    if not len(ids):
-        return 0
-    v = np.bincount(bucket[ids & 0xFFFF], minlength=BUCKETS) / len(ids) - 1 / BUCKETS
-    at = v @ plane / max(float(np.linalg.norm(v)), 1e-9)
-    cell = np.clip(((np.tanh(at) + 1) / 2 * (1 << BITS)).astype(int), 0, (1 << BITS) - 1)
-    return hilbert(cell, BITS)
+def curve_keys(ids: list[np.ndarray], bucket: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    """Hilbert numbers of documents' hashed, centred and scaled vectors."""
+    n = np.array([len(a) for a in ids], dtype=np.int64)
+    flat = np.concatenate(ids) if len(ids) else np.zeros(0, dtype=np.uint32)
+    at = np.repeat(np.arange(len(ids)) * BUCKETS, n) + bucket[flat & 0xFFFF]
+    v = np.bincount(at, minlength=len(ids) * BUCKETS).reshape(-1, BUCKETS)
+    v = np.where(n[:, None] > 0, v / np.maximum(n, 1)[:, None] - 1 / BUCKETS, 0.0)
+    x = v @ plane / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
+    cells = np.clip(((np.tanh(x) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+    return hilbert(cells, BITS)
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -121,6 +162,13 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     hash of the id, so that a crowd of equal documents still spreads."""
 
     def run(batches):
+        gc.disable()  # millions of small strings, no cycles
+        try:
+            yield from tokenise(batches)
+        finally:
+            gc.enable()
+
+    def tokenise(batches):
         bucket, plane = _plane()
         if tokenizer not in _words:
             _words[tokenizer] = _Words(tokenizer)
@@ -132,7 +180,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
                 arrays = [np.frombuffer(g, dtype="<u4") for g in got]
                 yield {
                     "doc_id": doc_ids[at : at + 1024],
-                    "key": [curve_key(a, bucket, plane) << 32 | s for a, s in zip(arrays, spread[at : at + 1024])],
+                    "key": curve_keys(arrays, bucket, plane) << 32 | np.array(spread[at : at + 1024], dtype=np.int64),
                     "n": [len(a) + 1 for a in arrays],
                     "ids": [np.append(a, END_ID).astype("<u2" if a.max(initial=0) < 1 << 16 else "<u4").tobytes() for a in arrays],
                 }
