@@ -38,7 +38,8 @@ DIMS = 3
 BITS = 10  # per dimension of the curve
 TASK_TOKENS = 32 << 20  # ids a task sorts
 SLICES_A_TASK = 4
-_CACHE_WORDS = 600_000  # tokenised words kept by a worker process
+_CACHE_WORDS = 200_000  # words, and
+_CACHE_PARTS = 400_000  # stems and marks, kept by a worker process with their ids
 _words: dict = {}  # of this worker process: path -> _Words
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -77,7 +78,7 @@ class _Words(dict):
         if len(self) + len(new) > _CACHE_WORDS:
             self.clear()
             new = words
-        if len(self.parts) > _CACHE_WORDS:
+        if len(self.parts) > _CACHE_PARTS:
             self.parts.clear()
         split = [(w, *_split(w)) for w in new]
         parts = self.parts
