@@ -115,10 +115,11 @@ def keys_from(b: bytes, bits: int) -> np.ndarray:
 
 
 def rows_of(batches):
-    """Rows as dicts, one at a time."""
+    """Rows as dicts, one at a time (a batch holds up to 64 MB of blobs)."""
     for b in batches:
-        for r in b.to_pylist():
-            yield r
+        names, cols = b.schema.names, b.columns
+        for i in range(b.num_rows):
+            yield {n: c[i].as_py() for n, c in zip(names, cols)}
 
 
 def grouped(rows, key: str):

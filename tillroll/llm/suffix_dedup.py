@@ -191,8 +191,11 @@ def _second(row: dict, parts: dict[int, bytes], bits: int):
     anchors = np.unique(np.concatenate([np.unique(x[4]) for x in named])) if named else np.zeros(0, dtype=np.uint64)
     shared, _ = _answers(parts, 0, anchors, bits)
     hot = anchors[shared]
-    found = {i: _places(t, g16, m, hot) for i, _, t, g16, m in named if i not in gone} if len(hot) else {}
-    found = {i: x for i, x in found.items() if len(x[0])}
+    found = {}
+    while named:  # the names of a document are given back once its places are known
+        i, _, t, g16, m = named.pop()
+        if i not in gone and len(hot) and len((x := _places(t, g16, m, hot))[0]):
+            found[i] = x
     order = sorted(found, key=lambda i: docs.ids[i])
     rows = np.concatenate([found[i][3] for i in order]) if order else np.zeros((0, 10 + 2 * SIDE), dtype=np.uint8)
     ids = np.repeat(np.array([docs.ids[i] for i in order], dtype=np.int64), [len(found[i][2]) for i in order])
@@ -227,21 +230,23 @@ def _windows(asked: list[tuple[int, bytes]], bits: int):
         sides.append(rest[10 * n :].reshape(n, 2 * SIDE))
         sizes.append(n)
     k, d, lo, hi = np.concatenate(keys), np.concatenate(ids), np.concatenate(left), np.concatenate(right)
-    side = np.concatenate(sides)
+    side = np.concatenate(sides).T.copy()  # byte by byte
+    del sides, keys, ids, left, right
     flags = np.zeros((len(k), SIDE + 1), dtype=bool)
     with np.errstate(over="ignore"):
-        # names of the 34 bytes beside the anchor, from sums over the row
-        total = np.zeros((len(k), 2 * SIDE + 1), dtype=np.uint64)
-        for i in range(2 * SIDE):
-            total[:, i + 1] = total[:, i] * _A + side[:, i] + np.uint64(1)
-        power = np.uint64(1)
-        for _ in range(SIDE):
-            power = power * _A
+        power, inverse = (np.uint64(pow(int(_A), e, 1 << 64)) for e in (SIDE, -1))
+        # the name of the 34 bytes that a window has beside its anchor: a sum
+        # over them, moved on by one byte for every offset
+        total = np.zeros(len(k), dtype=np.uint64)
+        for i in range(SIDE):
+            total = total * _A + side[SIDE + i] + np.uint64(1)
         for o in range(SIDE + 1):  # the window starts o bytes before the anchor
+            if o:  # a byte comes in on the left, one goes on the right
+                total = (total - side[2 * SIDE - o] - np.uint64(1)) * inverse + (side[SIDE - o] + np.uint64(1)) * (power * inverse)
             on = np.flatnonzero((lo >= o) & (hi >= SIDE - o))
             if len(on) < 2:
                 continue
-            name = _join(k[on] * _B + np.uint64(o), total[on, 2 * SIDE - o] - total[on, SIDE - o] * power)
+            name = _join(k[on] * _B + np.uint64(o), total[on])
             order = np.argsort(name, kind="stable")
             start = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
             least = np.repeat(np.minimum.reduceat(d[on][order], start), np.diff(np.concatenate([start, [len(on)]])))
