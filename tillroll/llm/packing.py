@@ -38,8 +38,8 @@ DIMS = 3
 BITS = 10  # per dimension of the curve
 TASK_TOKENS = 32 << 20  # ids a task sorts
 SLICES_A_TASK = 4
-_CACHE_WORDS = 200_000  # words, and
-_CACHE_PARTS = 400_000  # stems and marks, kept by a worker process with their ids
+_CACHE_WORDS = 300_000  # words, and
+_CACHE_PARTS = 500_000  # stems and marks, kept by a worker process with their ids
 _words: dict = {}  # of this worker process: path -> _Words
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
