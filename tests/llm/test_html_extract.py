@@ -94,3 +94,33 @@ def test_deep_long_and_extra_columns(spark):
     got = {r.page_id: r for r in H.extract(df.selectExpr("*", "'own' as _h", "'own' as node", "'own' as text")).collect()}
     assert got[1].text == "x" and got[2].n_chars == len("word & word ") * 20_000 - 1 and got[1].node == "own"
     assert H.op7_extract(df.limit(0)).collect() == []
+
+
+LONG, SHORT = "the article itself goes on for a good many words", "no"
+WRAPPED = [
+    (f"<div class='layout with-sidebar'><p>{LONG}</p><div class=sidebar>{SHORT}</div></div>", LONG),
+    (f"<div class=no-sidebar><p>{LONG}</p></div><div class=comments><p>{LONG}</p></div>", LONG),
+    (f"<div id=page class='has-banner'><div class=banner>{SHORT}</div><p>{LONG}</p></div>", LONG),
+    (f"<form action=x><p>{LONG}</p><nav>{SHORT}</nav></form><p>after", f"{LONG} after"),
+    (f"<div class=sidebar><article><p>{LONG}</p><div class=share>{SHORT}</div></article></div>", LONG),
+    (f"<main><div class='widget'><article>{LONG}</article></div><section id=comments><article class=comment-body>{SHORT}</article></section></main>", LONG),
+    (f"<nav><a>{LONG} {LONG}</a></nav><article>{LONG}</article><aside><article>{SHORT}</article></aside>", LONG),
+    (f"<div class=search><p>{LONG}</p></div><div class=login><p>{LONG} x</p></div>", f"{LONG} x"),
+    (f"<div class=search><p>{LONG}</p></div><div class=login><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+    (f"<nav>menu<p>{LONG}", f"menu {LONG}"),
+    (f"<html><head><title>{SHORT}</title><body><p>{LONG}", LONG),
+    (f"<div hidden><article>{LONG}</article></div><noscript>{LONG}</noscript><title>{LONG}</title>", ""),
+]
+
+
+def test_names_do_not_drop_what_holds_the_article(spark):
+    rows = [(i, None, h) for i, (h, _) in enumerate(WRAPPED)]
+    got = {r.page_id: r.text for r in H.op7_extract(pages(spark, rows)).collect()}
+    assert [got[i] for i in range(len(WRAPPED))] == [w for _, w in WRAPPED]
+
+
+def test_entropies_decide_in_a_wrapper(spark):
+    rng = random.Random(13)
+    made = [(u, f"<form class=search-page>{h}</form>", w) for u, h, w in site(rng, "w.example", 8)]
+    got = {r.page_id: r.text for r in H.op7_extract(pages(spark, [(i, u, h) for i, (u, h, _) in enumerate(made)])).collect()}
+    assert [got[i] for i in range(8)] == [w for _, _, w in made]

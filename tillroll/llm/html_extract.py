@@ -9,10 +9,19 @@ of the number of pages: what is the same on every page is noise, what differs
 is content.  From each page the branches of low importance are removed, as are
 elements that say themselves what they are (navigation, forms, adverts, ...).
 
+What an element says of itself does not count where it holds the article: an
+<article> or <main> that is not itself such an element, or most of the page's
+text (a sidebar layout, a form around the page).  Navigation, asides and the
+like (``SHELL_TAGS``, ``DROP_ROLES``) hold the article only if no <article> or
+<main> is outside of them.  There the entropies decide, and elements further
+inside are judged on their own.
+
 Defined cases: null or empty html has empty text; a page without a host (null
 or relative url) and nodes on fewer than ``MIN_PAGES`` pages are judged by
 their tags alone; if low importance would empty a page (all pages of a host
-alike), it is judged by tags alone too; broken markup is read leniently
+alike), it is judged by tags alone too; if the tags empty a page that shows
+text, it is judged by importance alone, and all it shows is kept if that
+empties it as well; hidden text is never kept; broken markup is read leniently
 (unclosed and stray tags, unterminated comments); repeated rows count as pages;
 other columns pass through, and columns named like the results are replaced.
 """
@@ -48,23 +57,32 @@ CLOSES_P = frozenset(
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div nav".split())
 # Elements, roles and names that are not the article.
-DROP_TAGS = frozenset(
-    "head title nav footer aside form noscript script style iframe template svg canvas object button select textarea menu dialog fieldset xmp noembed noframes audio video map".split()
-)
+HIDDEN_TAGS = frozenset("title noscript script style iframe template svg select textarea xmp noembed noframes".split())
+SHELL_TAGS = frozenset("nav footer aside menu dialog".split())
+DROP_TAGS = frozenset("head form canvas object button fieldset audio video map".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROP_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|topbar|sidebar|side|footer|masthead|breadcrumbs?|cookies?|consent|gdpr|"
     r"notice|notification|popup|modal|newsletter|subscribe|subscription|signup|comments?|commentlist|respond|replies|disqus|social|share|sharing|related|recommended|widget|login|search|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+# Names of what an element has or lacks ("with-sidebar"): not what it is.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:with|without|no|has)[_-]\S*", re.I)
 DROP_UNLESS_ARTICLE = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 
 
+# Why an element may be dropped: it says so by its name or tag, it is part of
+# the page's shell, or it is not shown.
+NAMED, SHELL, HIDDEN = 1, 2, 3
+
+
 class _Node:
-    __slots__ = ("tag", "key", "drop", "first", "last", "style", "inside")
+    __slots__ = ("tag", "key", "up", "rule", "hidden", "drop", "first", "last", "style", "inside", "articles")
 
-    def __init__(self, tag, key, drop, first, inside):
-        self.tag, self.key, self.drop, self.first, self.last, self.style, self.inside = tag, key, drop, first, None, [], inside
+    def __init__(self, tag, key, up, rule, first, inside):
+        self.tag, self.key, self.up, self.rule, self.first, self.last, self.style, self.inside = tag, key, up, rule, first, None, [], inside
+        self.hidden = rule == HIDDEN or (up is not None and up.hidden)
+        self.drop, self.articles = self.hidden, 0  # articles: <article> and <main> elements with text below
 
 
 def _key(parent: int, name: str) -> int:
@@ -74,20 +92,23 @@ def _key(parent: int, name: str) -> int:
 def _open(parent: _Node, tag: str, attrs: str, at: int) -> _Node:
     got = {m.group(1).lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
     names = f"{got.get('class', '')} {got.get('id', '')}"
-    drop = (
-        parent.drop or tag in DROP_TAGS or got.get("role", "").strip().lower() in DROP_ROLES or "hidden" in got
-        or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-        or bool(names.strip() and tag not in ("html", "body", "main", "article") and DROP_NAMES.search(names))
-        or (not parent.inside and (tag == "header" or bool(DROP_UNLESS_ARTICLE.search(names)) and tag not in ("html", "body")))
-    )
+    said = _LAYOUT.sub("", names) if names.strip() and tag not in ("html", "body") else ""
+    if tag in HIDDEN_TAGS or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
+        rule = HIDDEN
+    elif tag in SHELL_TAGS or got.get("role", "").strip().lower() in DROP_ROLES or (tag == "header" and not parent.inside):
+        rule = SHELL
+    elif tag in DROP_TAGS or DROP_NAMES.search(said) or (not parent.inside and DROP_UNLESS_ARTICLE.search(said)):
+        rule = NAMED
+    else:
+        rule = 0
     name = tag + "".join("." + c for c in sorted(re.sub(r"\d+", "0", got.get("class", "")).split())) + "#" + re.sub(r"\d+", "0", got.get("id", ""))
     parent.style.append(tag)
-    return _Node(tag, _key(parent.key, name), drop, at, parent.inside or tag in ("article", "main"))
+    return _Node(tag, _key(parent.key, name), parent, rule, at, parent.inside or tag in ("article", "main"))
 
 
 def parse(page: str | None) -> tuple[list[str], list[tuple[_Node, ...]], list[_Node]]:
     """Text blocks in page order, the chain of nodes above each, all nodes."""
-    root = _Node("", 0, False, 0, False)
+    root = _Node("", 0, None, 0, 0, False)
     stack, nodes, blocks, chains, now = [root], [root], [], [], []
 
     def flush():
@@ -99,7 +120,10 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[_Node, ...]], list[_N
 
     def pop(n):
         while len(stack) > n:
-            stack.pop().last = len(blocks)
+            node = stack.pop()
+            node.last = len(blocks)
+            if node.up and not node.hidden:
+                node.up.articles += node.articles + (node.tag in ("article", "main") and not node.rule and node.last > node.first)
 
     page, at = page or "", 0
     while True:
@@ -144,6 +168,26 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[_Node, ...]], list[_N
     return blocks, chains, nodes
 
 
+def judge(blocks: list[str], chains: list[tuple[_Node, ...]], nodes: list[_Node]) -> None:
+    """Sets ``drop`` of the nodes of a page by what they say of themselves and
+    by what they hold."""
+    held = [0]  # characters before each block that count as the page's text
+    for b, c in zip(blocks, chains):
+        held.append(held[-1] + (0 if c[-1].hidden else len(b)))
+    for rule in (SHELL, NAMED):
+        for n in nodes[1:]:
+            own = False
+            if n.rule == rule and not n.up.drop:
+                most = 2 * (held[n.last] - held[n.first]) > held[-1]
+                own = n.tag not in ("article", "main") and not n.articles and not most
+                if rule == SHELL:
+                    own = nodes[0].articles > n.articles or not (n.articles or most)
+            n.drop = n.drop or n.up.drop or own
+        if rule == SHELL:
+            for i, c in enumerate(chains):
+                held[i + 1] = held[i] + (0 if c[-1].drop else len(blocks[i]))
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,8 +259,10 @@ def extract(pages: DataFrame, tree: DataFrame | None = None) -> DataFrame:
         texts = []
         for page, low in zip(htmls, noises):
             low = set(low or ())
-            blocks, chains, _ = parse(page)
-            by_tag = [(b, c) for b, c in zip(blocks, chains) if not c[-1].drop]
+            blocks, chains, nodes = parse(page)
+            judge(blocks, chains, nodes)
+            shown = [(b, c) for b, c in zip(blocks, chains) if not c[-1].hidden]
+            by_tag = [(b, c) for b, c in shown if not c[-1].drop] or shown
             kept = [b for b, c in by_tag if not any(x.key in low for x in c[1:])]
             texts.append(" ".join(kept or [b for b, _ in by_tag]))
         return {"text": texts, "n_chars": [len(t) for t in texts]}
