@@ -107,3 +107,52 @@ def test_given_documents(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((tuple(r) for r in J.op2_jaccard_join(docs).collect()), key=str) == brute(rows)
+
+
+def test_recall_counts_shared_coordinates_and_the_estimate():
+    """Against a simulation of the whole pool of coordinates."""
+    rng, n, got = random.Random(24), J.runs(), 0.0
+    for _ in range(4000):
+        agree = sum(rng.random() < J.THRESHOLD for _ in range(J.T))
+        q = 0.0
+        for _ in range(J.DEPTHS[-1]):
+            q = (1 - (1 - q) / (J.LAMBDA * J.T)) ** agree
+        got += (1 - q**n) * (agree >= J.ESTIMATE * J.T)
+    assert got / 4000 >= J.RECALL - 0.002 and J.expected_recall(n) >= J.RECALL > J.expected_recall(n - 1)
+    with pytest.raises(ValueError):
+        J.runs(0.9999)
+
+
+def test_large_last_buckets_are_compared_across_blocks(spark):
+    """Sets with one template: pairs unlike the first set, in different blocks,
+    with one bucket as the only place to meet."""
+    rng = random.Random(25)
+    seeds, sigs, pairs = J._seeds(), [], []
+    shared = rng.sample(range(1 << 40), 400)
+    for i in range(300):
+        own = rng.sample(range(1 << 40), 400)
+        for k in range(2):
+            s = J.np.unique(J.np.array(shared + own[: 400 - 20 * k], dtype=J.np.uint64))
+            sigs.append((2 * i + k, bytearray(J.signature(J._mix(s), seeds).tobytes())))
+        pairs.append((2 * i, 2 * i + 1))
+    reps = spark.createDataFrame(sigs, "rep long, sig binary")
+    bucket = reps.selectExpr("1L as key", "rep")
+    links = spark.createDataFrame([(0, 2)], "a long, b long")
+    found = J._bucket_links(J._across(bucket, J.components(links), 16), reps)
+    near = {frozenset(p) for p in pairs}
+    classes = {r.v: r["class"] for r in J.components(found.union(links)).collect()}
+    assert all(classes[a] == classes[b] for a, b in map(tuple, near))
+    units = J._across(bucket, J.components(links), 16)
+    assert max(r["count"] for r in units.groupBy("key").count().collect()) < 120
+    one = spark.createDataFrame([(0, i) for i in range(1, 600)], "a long, b long")
+    assert J._across(bucket, J.components(one), 16).count() == 0
+
+
+def test_template_beyond_the_bucket_size(spark):
+    """A template in far more sets than a bucket holds; near pairs unlike the first set."""
+    rng = random.Random(26)
+    template, rows = prose(rng, 120), []
+    for i in range(120):
+        t = template + " " + prose(rng, 60)
+        rows += [(2 * i, t), (2 * i + 1, near(rng, t, 2))]
+    assert result(spark, rows, small=8) == brute(rows)

@@ -9,8 +9,11 @@ named by (coordinate, its value).  Sets that share a path of ``DEPTHS[0]``
 choices meet in a bucket.  Small buckets are brute-forced; larger ones are
 split further, down to ``DEPTHS[-1]``; what is still large there (sets that
 agree on that many coordinates) is dealt into blocks that all hold the bucket's
-first set.  Runs are repeated until a pair at the threshold meets with
-probability ``RECALL``.
+first set, and sets of different blocks that are in no common group by then are
+compared block by block, each pair of blocks one unit of work.  Runs are
+repeated until a pair at the threshold meets at the last depth and passes the
+estimate with probability ``RECALL``; all runs choose among the same
+coordinates, so that probability is the mean over how many of them agree.
 
 Brute force on the coordinates links candidates (estimate at least
 ``ESTIMATE``).  Their groups are then compared exactly on whole shingle sets,
@@ -91,16 +94,36 @@ def signature(s: np.ndarray, seeds) -> np.ndarray:
         return (_mix(out) >> np.uint64(32)).astype(np.uint32)
 
 
-def _survival(depths=DEPTHS, sim: float = THRESHOLD) -> float:
-    """Probability that a pair at the threshold shares a path to the last depth in one run."""
+def _meets(agree: int, depths=DEPTHS) -> float:
+    """Probability that two sets which agree on ``agree`` of the coordinates
+    share a path to the last depth in one run."""
     q = 0.0
     for _ in range(depths[-1]):
-        q = (1 - sim / (LAMBDA * T) * (1 - q)) ** T
+        q = (1 - 1 / (LAMBDA * T) * (1 - q)) ** agree
     return 1 - q
 
 
+def expected_recall(n: int, depths=DEPTHS, sim: float = THRESHOLD) -> float:
+    """Probability that a pair at the threshold meets in one of ``n`` runs and
+    passes the estimate: the mean over the coordinates it agrees on, which all
+    runs share."""
+    at = lambda k: math.comb(T, k) * sim**k * (1 - sim) ** (T - k)
+    return sum(at(k) * (1 - (1 - _meets(k, depths)) ** n) for k in range(math.ceil(ESTIMATE * T), T + 1))
+
+
 def runs(recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - _survival()))
+    n = 1
+    while expected_recall(n) < recall:
+        if expected_recall(2 * n) - expected_recall(n) < 1e-12:
+            raise ValueError(f"a recall of {recall} is beyond {T} coordinates with an estimate of {ESTIMATE}")
+        n += 1
+    return n
+
+
+def _survival(recall: float = RECALL) -> float:
+    """The chance of one run if the runs were independent and had the same recall."""
+    n = runs(recall)
+    return 1 - (1 - expected_recall(n)) ** (1 / n)
 
 
 def grow(sig: np.ndarray, row: np.ndarray, key: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +249,7 @@ def _bucket_links(members: DataFrame, reps: DataFrame) -> DataFrame:
 
 def candidate_links(reps: DataFrame, recall: float = RECALL, small: int = SMALL) -> DataFrame:
     """Candidate links (a, b) between the sets of ``reps`` (rep, sig)."""
-    found = []
+    found, hot = [], None
     paths = saved(_paths(reps, DEPTHS[0], runs(recall)), "chosen-paths")
     for level, depth in enumerate(DEPTHS):
         size = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).where("size > 1")
@@ -238,6 +261,7 @@ def candidate_links(reps: DataFrame, recall: float = RECALL, small: int = SMALL)
             own = members.select(F.when(F.col("size") <= small, F.col("key")).otherwise(block(F.pmod(F.xxhash64("rep"), k).cast("int"))).alias("key"), "rep")
             pivots = size.where(F.col("size") > small).select("key", "first", F.explode(F.sequence(F.lit(0), k - 1)).alias("i"))
             found.append(_bucket_links(own.union(pivots.select(block(F.col("i")), "first")).distinct(), reps))
+            hot = members.where(F.col("size") > small).select("key", "rep").distinct()
         else:
             found.append(_bucket_links(members.where(F.col("size") <= small).select("key", "rep"), reps))
             large = members.where(F.col("size") > small).select("key", "rep").join(reps.select("rep", "sig"), "rep")
@@ -245,7 +269,30 @@ def candidate_links(reps: DataFrame, recall: float = RECALL, small: int = SMALL)
     links = found[0]
     for f in found[1:]:
         links = links.union(f)
-    return links.distinct()
+    links = links.distinct()
+    if not hot.limit(1).count():
+        return links
+    links = saved(links, "block-links")
+    return links.union(_bucket_links(_across(hot, components(links), small), reps)).distinct()
+
+
+def _across(hot: DataFrame, classes: DataFrame, small: int) -> DataFrame:
+    """(key, rep) of the pairs of blocks that hold every pair of sets of a
+    bucket of ``hot`` (key, rep) which is in no common class (v, class).  The
+    sets of a bucket's largest class are only paired with the other sets, so a
+    bucket of one class costs nothing."""
+    placed = saved(hot.join(classes.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class")), "hot-classes")
+    size = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    mixed = size.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("m")).where("m > top.n")
+    blocks = lambda n: F.ceil(n / small).cast("int")
+    mixed = mixed.select("key", F.col("top.class").alias("top"), blocks(F.col("top.n")).alias("nt"), blocks(F.col("m") - F.col("top.n")).alias("no"))
+    rows = placed.join(mixed, "key").withColumn("in_top", F.col("class") == F.col("top"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("in_top"), F.col("nt")).otherwise(F.col("no"))).cast("int"))
+    # Blocks of the largest class are numbered -1, -2, ...
+    top = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda j: F.struct((-1 - F.col("block")).alias("i"), j.alias("j")))
+    rest = F.transform(F.sequence(-F.col("nt"), F.col("no") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
+    units = rows.select("key", "rep", F.explode(F.when(F.col("in_top"), top).otherwise(rest)).alias("p"))
+    return units.select(F.xxhash64("key", F.lit("pair"), "p.i", "p.j").alias("key"), "rep")
 
 
 def components(links: DataFrame) -> DataFrame:
