@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tillroll.llm import collocations, decontamination, html_extract, jaccard_join, langid, lm_scoring, packing, pii, quality, suffix_dedup, toxicity
+from tillroll.llm import collocations, decontamination, html_extract, jaccard_join, langid, lm_scoring, packing, pii, quality, secret_scan, suffix_dedup, toxicity, variants
 from tillroll.sources.tables import read_table
 
 
@@ -24,10 +24,13 @@ QUERIES = {
     "op8_language_id": lambda s, d: langid.op8_language_id(_docs(s, d)),
     "op6_decontaminate": lambda s, d: decontamination.op6_decontaminate(_docs(s, d), read_table(s, d, "benchmark")),
     "op11_collocations": lambda s, d: collocations.op11_collocations(_docs(s, d)),
+    "op12_secrets": lambda s, d: secret_scan.op12_secrets(_docs(s, d)),
+    "op13_variants": lambda s, d: variants.op13_variants(_docs(s, d)),
 }
 
 # Queries whose method SQL cannot express have none; tests/llm holds their brute force.
 ORACLE = {
     "op6_decontaminate": decontamination.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op13_variants": variants.ORACLE_SQL,
 }
