@@ -37,6 +37,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -170,8 +171,9 @@ def _mix_column(a: str, b: str) -> Column:
 
 
 def bucket_sums(chunks: DataFrame, bits: list, n: int) -> DataFrame:
-    """(lang, h0, .., n): occurrences of ``n`` words whose bits are set, by the
-    words' hashes (an upper bound for each phrase of the bucket).
+    """(h0, .., n): occurrences of ``n`` words whose bits are set, by the words'
+    hashes, which hold the language (an upper bound for each phrase of the
+    bucket).
 
     ``bits``: broadcast bitmaps, of the frequent words and, for three words,
     of the candidate pairs."""
@@ -195,16 +197,17 @@ def bucket_sums(chunks: DataFrame, bits: list, n: int) -> DataFrame:
             for x in g[1:]:
                 code = code * len(own) + x
             _, first, times = np.unique(code, return_index=True, return_counts=True)
-            yield {"lang": [c.lang] * len(first), "n": times} | {k: h[own[x[first]]] for k, x in zip(names, g)}
+            yield {"n": times} | {k: h[own[x[first]]] for k, x in zip(names, g)}
 
-    ddl = "lang string, n long, " + ", ".join(f"{k} long" for k in names)
-    return map_rows(chunks, ddl, run).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    ddl = "n long, " + ", ".join(f"{k} long" for k in names)
+    return map_rows(chunks, ddl, run).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def _named(found: DataFrame, words: DataFrame, n: int) -> DataFrame:
     """Hashes back to words.  Words that share a hash all come back."""
     for k in range(n):
-        found = found.join(words.select("lang", F.col("h").alias(f"h{k}"), F.col("word").alias(f"w{k}")), ["lang", f"h{k}"])
+        on = ["lang", f"h{k}"] if k else ["h0"]
+        found = found.join(words.select("lang", F.col("h").alias(f"h{k}"), F.col("word").alias(f"w{k}")), on)
     return found
 
 
@@ -212,31 +215,25 @@ PHRASE = "shard int, lang string, w0 binary, w1 binary, w2 binary"
 
 
 def write_tries(candidates: DataFrame, shard: int) -> tuple[DataFrame, int]:
-    """Rows (shard, idx, lang, w0, w1, w2, trie): the phrases of each shard and,
+    """Rows (shard, lang, w0, w1, w2, idx, trie): the phrases of each shard and,
     with ``idx`` -1, its trie; and the number of shards."""
     n = max(1, math.ceil(candidates.count() / shard))
 
     def build(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("lang", "w0", "w1", "w2"))), key=lambda r: (r[0], r[1], r[2], r[3] or b""))
-        words = sorted({w for r in rows for w in r[1:] if w is not None})
-        at = {w: i for i, w in enumerate(words)}
-        langs = sorted({r[0] for r in rows})
-        lang_at = {k: len(words) + i for i, k in enumerate(langs)}
-        paths = np.array([[lang_at[k], at[a], at[b], -1 if c is None else at[c]] for k, a, b, c in rows], dtype=np.int64)
-        # the languages' symbols follow the words' in the list
-        blob = DoubleArray.build(paths).to_bytes(words + [k.encode() for k in langs] + [len(langs)])
-        s = t.column("shard")[0].as_py()
-        cols = list(zip(*rows))
-        return pa.table(
-            {
-                "shard": pa.array([s] * (len(rows) + 1), pa.int32()), "idx": pa.array([-1, *range(len(rows))], pa.int64()), "lang": pa.array([None, *cols[0]], pa.string()),
-                "w0": pa.array([None, *cols[1]], pa.binary()), "w1": pa.array([None, *cols[2]], pa.binary()), "w2": pa.array([None, *cols[3]], pa.binary()),
-                "trie": pa.array([blob] + [None] * len(rows), pa.binary()),
-            }
-        )
+        columns = [t.column(c).combine_chunks() for c in ("w0", "w1", "w2")]
+        words = pc.unique(pa.chunked_array(columns)).drop_null()
+        langs = pc.unique(t.column("lang")).drop_null()
+        # the languages' symbols follow the words'
+        paths = [pc.index_in(t.column("lang"), value_set=langs).to_numpy() + len(words)]
+        paths += [pc.fill_null(pc.index_in(c, value_set=words, skip_nulls=True), -1).to_numpy() for c in columns]
+        names = words.to_pylist() + [k.encode() for k in langs.to_pylist()]
+        blob = DoubleArray.build(np.column_stack(paths).astype(np.int64)).to_bytes([*names, len(langs)])
+        t = t.append_column("idx", pa.array(np.arange(len(t)), pa.int64())).append_column("trie", pa.nulls(len(t), pa.binary()))
+        last = {"shard": t.column("shard")[0].as_py(), "idx": -1, "trie": blob}
+        return pa.concat_tables([t, pa.Table.from_pylist([last], schema=t.schema)])
 
     dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("lang", "w0", "w1", "w2"), F.lit(n)).cast("int"))
-    made = dealt.select(*[c.split()[0] for c in PHRASE.split(", ")]).groupBy("shard").applyInArrow(build, "shard int, idx long, lang string, w0 binary, w1 binary, w2 binary, trie binary")
+    made = dealt.select(*[c.split()[0] for c in PHRASE.split(", ")]).groupBy("shard").applyInArrow(build, PHRASE + ", idx long, trie binary")
     return saved(made, "phrase-tries"), n
 
 

@@ -82,11 +82,14 @@ def name_weight(name: str) -> float:
 
 def literal_weight(s: str) -> float:
     """How much a literal looks like a secret, 0 to 1: its length, the entropy
-    of its characters and their classes; 0 for fillers and short ones."""
+    of its characters and their classes; 0 for fillers, short and monotonous
+    ones."""
     if len(s) < 6 or any(c.isspace() for c in s) or _FILLER.fullmatch(s):
         return 0.0
     n = len(s)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+    if entropy < 2:  # few different characters
+        return 0.0
     classes = sum(any(t(c) for c in s) for t in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in s)
     if classes == 1 and not s.isdigit() and n < 16:  # a plain word
         return 0.3

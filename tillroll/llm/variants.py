@@ -2,7 +2,7 @@
 
 Letters are hashed to ``SYMBOLS`` symbols.  Words within one edit have reduced
 forms within one edit, so every word's full one-edit neighbourhood over the
-few symbols (itself, all replacements, deletions and insertions: 16 L + 9 keys
+few symbols (itself, all replacements, deletions and insertions: 17 L + 9 keys
 for L letters, made by numpy from prefix and suffix values) is joined with the
 reduced vocabulary; the words that meet are compared as they are.  A bitmap of
 the reduced vocabulary (fixed size, broadcast) drops neighbours that no word
@@ -132,7 +132,7 @@ def _by_length(batches):
             words, counts = groups.setdefault(len(w), ([], []))
             words.append(w)
             counts.append(n)
-            if len(words) * 16 * len(w) >= _KEYS:
+            if len(words) * 17 * len(w) >= _KEYS:
                 yield groups.pop(len(w))
         yield from groups.values()
 
