@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tillroll.registry import QUERIES, daily_price_table  # noqa: E402
+from tillroll.registry import QUERIES, campaign_summaries, daily_price_table  # noqa: E402
 from tillroll.sources import canonical as canon  # noqa: E402
 from tillroll.session import local_session  # noqa: E402
 
@@ -35,9 +35,15 @@ def main() -> None:
     # The three reloads of the daily price table, read by its own query and
     # by the campaign queries.
     t = time.perf_counter()
-    if not only or {"daily_prices_table", "campaign_islands", "discount_days_brand", "discount_days_category", "campaign_compliance", "compliance_table"} & set(only):
+    incremental = {"campaign_islands_incremental", "campaign_compliance_incremental"}
+    if not only or incremental & set(only) or {"daily_prices_table", "campaign_islands_sliced", "campaign_islands", "discount_days_brand", "discount_days_category", "campaign_compliance", "compliance_table"} & set(only):
         daily_price_table(spark, sf_dir)
     times["_reload_daily_prices"] = round(time.perf_counter() - t, 3)
+    # The campaign summaries, brought up to date after each of the three reloads.
+    t = time.perf_counter()
+    if not only or incremental & set(only):
+        campaign_summaries(spark, sf_dir)
+    times["_refresh_campaign_summaries"] = round(time.perf_counter() - t, 3)
     for name, q in QUERIES.items():
         if only and name not in only:
             continue

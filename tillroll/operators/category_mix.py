@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
+from tillroll.sources.customers import CustomerFacts, per_customer
 
 # The five named categories, in the reference's order.
 NAMED_CATEGORIES = ["Hair", "Cosmetics", "Skin", "Fragrance", "Body"]
 
 
 def order_category_flags(
-    tx: DataFrame,
+    tx: DataFrame | CustomerFacts,
     window: Window,
     brand_ids: Iterable[int],
     *,
@@ -42,11 +43,9 @@ def order_category_flags(
     line_flags = [F.when(cat == v, 1).otherwise(0).alias(label) for label, v in values.items()]
     line_flags.append(F.when(~cat.isin(*values.values()), 1).otherwise(0).alias("Other"))
     labels = [*NAMED_CATEGORIES, "Other"]
-    per_order = (
-        tx.filter(pred)
-        .select("customer_id", "order_id", *line_flags)
-        .groupBy("customer_id", "order_id")
-        .agg(*[F.max(c).alias(c) for c in labels])
+    flags = [F.max(c).alias(c) for c in labels]
+    per_order = per_customer(
+        tx, lambda lines: lines.filter(pred).select("customer_id", "order_id", *line_flags).groupBy("customer_id", "order_id").agg(*flags)
     )
     return per_order.select("customer_id", "order_id", *combination_flags(labels))
 
@@ -76,7 +75,7 @@ def combination_flags(labels: list[str]) -> list[Column]:
 
 
 def category_mix(
-    tx: DataFrame,
+    tx: DataFrame | CustomerFacts,
     window: Window,
     brand_ids: Iterable[int],
     **options,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import windows as win
+from tillroll.sources.customers import CustomerFacts, per_customer
 from tillroll.sources.partitioned import replace_partitions
 
 # Dimension columns and KPI names of the monthly table.
@@ -36,66 +37,52 @@ def period_calendar(spark: SparkSession, calendar: DataFrame, as_of) -> DataFram
     """date_key, order_date, calendar_year_month, period_ty/ly/ly_al.
 
     The month list comes from ``as_of`` (two months); aligned bounds are looked
-    up in ``calendar`` (full_date -> last_year_day_aligned).  The result has at
-    most 2 months x 3 periods x 31 days rows, whatever the data size.
+    up in ``calendar`` (full_date -> last_year_day_aligned) by one global
+    aggregate, a row that is broadcast to the calendar's days.  The result has
+    at most 2 months x 3 periods x 31 days rows, whatever the data size.
     """
     yesterday = win.as_date(as_of) - dt.timedelta(days=1)
-    months = spark.createDataFrame(
-        [(m.start, m.end, m.start.strftime("%Y%m")) for m in win.kpi_months(as_of)],
-        "m_start date, m_eom date, calendar_year_month string",
+    months = win.kpi_months(as_of)
+    # one row: the aligned day of each month's first and last day
+    aligned = calendar.agg(
+        *[
+            F.max(F.when(F.col("full_date") == F.lit(day), F.col("last_year_day_aligned"))).alias(f"{name}_{i}")
+            for i, m in enumerate(months)
+            for name, day in (("al_start", m.start), ("al_end", m.end))
+        ]
     )
-    aligned = calendar.select("full_date", "last_year_day_aligned")
-    m = (
-        months.join(
-            aligned.withColumnRenamed("full_date", "m_start").withColumnRenamed("last_year_day_aligned", "al_start"),
-            "m_start",
-            "left",
+    d = F.col("full_date")
+    of_month = []
+    for i, m in enumerate(months):
+        start, end = F.lit(m.start), F.lit(m.end)
+        in_ly = d.between(F.add_months(start, -12), F.add_months(end, -12))
+        in_al = d.between(F.col(f"al_start_{i}"), F.col(f"al_end_{i}"))
+        of_month.append(
+            F.struct(
+                F.lit(m.start.strftime("%Y%m")).alias("calendar_year_month"),
+                # TY is tested against yesterday, as in the reference.
+                F.when(d.between(start, F.lit(yesterday)), "TY").alias("period_ty"),
+                F.when(in_ly, "LY").alias("period_ly"),
+                F.when(in_al, "LY_AL").alias("period_ly_al"),
+                (d.between(start, end) | in_ly | F.coalesce(in_al, F.lit(False))).alias("_in_range"),
+            )
         )
-        .join(
-            aligned.withColumnRenamed("full_date", "m_eom").withColumnRenamed("last_year_day_aligned", "al_end"),
-            "m_eom",
-            "left",
-        )
-        .withColumn("ly_start", F.add_months("m_start", -12))
-        .withColumn("ly_end", F.add_months("m_eom", -12))
-    )
-
-    def dates(lo, hi, ty, ly, al):
-        return m.select(
-            "calendar_year_month",
-            F.explode(F.sequence(F.col(lo), F.col(hi))).alias("order_date"),
-            F.lit(ty).alias("ty"), F.lit(ly).alias("ly"), F.lit(al).alias("al"),
-        )
-
-    tagged = (
-        dates("m_start", "m_eom", 1, 0, 0)
-        .unionByName(dates("ly_start", "ly_end", 0, 1, 0))
-        .unionByName(dates("al_start", "al_end", 0, 0, 1))
-        .groupBy("calendar_year_month", "order_date")
-        .agg(F.max("ty").alias("ty"), F.max("ly").alias("ly"), F.max("al").alias("al"))
-        .join(m.select("calendar_year_month", "m_start", "ly_start", "ly_end", "al_start", "al_end"), "calendar_year_month")
-    )
-    d = F.col("order_date")
     # Every date of the three ranges carries at least one period (the
     # reference's WHERE), and no period reaches past yesterday.  The second,
     # single-column predicate also lets Spark treat the calendar as a
     # selective side and prune fact partitions dynamically.
     in_a_period = F.col("period_ty").isin("TY") | F.col("period_ly").isin("LY") | F.col("period_ly_al").isin("LY_AL")
-    in_a_period = in_a_period & (d <= F.lit(yesterday))
-    out = tagged.select(
-        "calendar_year_month",
-        "order_date",
-        # TY is tested against yesterday, as in the reference.
-        F.when(d.between(F.col("m_start"), F.lit(yesterday)), "TY").alias("period_ty"),
-        F.when(d.between(F.col("ly_start"), F.col("ly_end")), "LY").alias("period_ly"),
-        F.when(d.between(F.col("al_start"), F.col("al_end")), "LY_AL").alias("period_ly_al"),
-    ).filter(in_a_period)
-    return out.join(calendar.select(F.col("full_date").alias("order_date"), "date_key"), "order_date").withColumn(
-        "order_month", (F.year("order_date") * 100 + F.month("order_date")).cast("int")
+    tagged = calendar.filter(d <= F.lit(yesterday)).crossJoin(F.broadcast(aligned)).select(
+        F.col("full_date").alias("order_date"), "date_key", F.explode(F.array(*of_month)).alias("p")
+    )
+    return (
+        tagged.select("order_date", "p.*", "date_key", (F.year("order_date") * 100 + F.month("order_date")).cast("int").alias("order_month"))
+        .filter(F.col("_in_range") & in_a_period)
+        .drop("_in_range")
     )
 
 
-def kpi_preaggregate(daily_base: DataFrame, periods: DataFrame, brand_attr: DataFrame, dims: list[str]) -> DataFrame:
+def kpi_preaggregate(daily_base: DataFrame | CustomerFacts, periods: DataFrame, brand_attr: DataFrame, dims: list[str]) -> DataFrame:
     """Sums and distinct counts per (period flags, month, dims).
 
     The period calendar is bounded by the parameters (under 200 rows), so it
@@ -105,18 +92,22 @@ def kpi_preaggregate(daily_base: DataFrame, periods: DataFrame, brand_attr: Data
 
     Three grouped sums instead of distinct counts on raw lines: an order's
     lines, a customer's orders, then the customers (an order has one customer),
-    so no line is multiplied and each step is combined map-side.
+    so no line is multiplied.  On the customer layout the first two run inside
+    the customers' buckets; only the last, combined map-side to a row per
+    period, dims and task, crosses the network.
     """
-    f = daily_base.join(F.broadcast(periods.drop("order_date")), ["date_key", "order_month"]).join(
-        brand_attr, "brand_id", "left"
-    )
     keys = ["period_ty", "period_ly", "period_ly_al", "calendar_year_month", *dims]
     sums = [F.sum(k).alias(k) for k in SUM_KPIS]
-    per_order = f.groupBy(*keys, "customer_id", "order_id").agg(*sums, F.max("new_category").alias("new_category"))
-    per_customer = per_order.groupBy(*keys, "customer_id").agg(
-        F.count("order_id").alias("orders"), *sums, F.max("new_category").alias("new_category")
-    )
-    return per_customer.groupBy(*keys).agg(
+    by_date = F.broadcast(periods.drop("order_date"))
+
+    def of_customers(lines: DataFrame) -> DataFrame:
+        f = lines.join(by_date, ["date_key", "order_month"]).join(brand_attr, "brand_id", "left")
+        per_order = f.groupBy(*keys, "customer_id", "order_id").agg(*sums, F.max("new_category").alias("new_category"))
+        return per_order.groupBy(*keys, "customer_id").agg(
+            F.count("order_id").alias("orders"), *sums, F.max("new_category").alias("new_category")
+        )
+
+    return per_customer(daily_base, of_customers).groupBy(*keys).agg(
         F.sum("orders").alias("orders"),
         *sums,
         F.count("customer_id").alias("total_customers"),
@@ -143,7 +134,7 @@ def kpi_pivot(pre: DataFrame, dims: list[str]) -> DataFrame:
 
 def monthly_kpi(
     spark: SparkSession,
-    daily_base: DataFrame,
+    daily_base: DataFrame | CustomerFacts,
     calendar: DataFrame,
     brand_attr: DataFrame,
     as_of,
@@ -155,7 +146,7 @@ def monthly_kpi(
 
 def reload_monthly_kpi(
     spark: SparkSession,
-    daily_base: DataFrame,
+    daily_base: DataFrame | CustomerFacts,
     calendar: DataFrame,
     brand_attr: DataFrame,
     as_of,

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
+from tillroll.sources.customers import CustomerFacts, per_customer
 
 
 def retention_cohorts(
-    tx: DataFrame,
+    tx: DataFrame | CustomerFacts,
     brand_id: int,
     start_year: int,
     *,
@@ -33,10 +34,9 @@ def retention_cohorts(
     window = Window(dt.date(start_year, 1, 1), dt.date(start_year + span - 1, 12, 31))
     kwargs = {} if business_unit is False else {"business_unit": business_unit}
     pred = valid_line(window, excluded_countries=excluded_countries, brand_ids=[brand_id], **kwargs)
-    masks = (
-        tx.filter(pred & F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, year(order_date) - {int(start_year)})")).alias("m"))
+    bit = F.expr(f"shiftleft(1L, year(order_date) - {int(start_year)})")
+    masks = per_customer(
+        tx, lambda lines: lines.filter(pred & F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.bit_or(bit).alias("m"))
     )
 
     def active(bit: int):

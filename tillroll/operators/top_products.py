@@ -8,12 +8,43 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.filters import valid_line
 from tillroll.functions.windows import Window
+from tillroll.sources.customers import CustomerFacts, per_customer
 
 MEASURES = ["product_id", "product_title", "category", "customers", "orders", "total_units", "revenue"]
 
 
+def product_measures(tx: DataFrame | CustomerFacts, pred) -> DataFrame:
+    """Customers, orders, units and revenue per (product, category) of the
+    lines ``pred`` selects (with a customer).
+
+    Lines are summed per (product, order) and those per (product, customer)
+    first, so distinct counts are plain counts and no line is multiplied; on
+    the customer layout both steps run without a shuffle.  An order has one
+    customer.
+    """
+
+    def of_customers(lines: DataFrame) -> DataFrame:
+        per_order = lines.filter(pred).groupBy("product_id", "category", "customer_id", "order_id").agg(
+            F.sum("units").alias("units"), F.sum("gross_revenue").alias("revenue")
+        )
+        return per_order.groupBy("product_id", "category", "customer_id").agg(
+            F.count("order_id").alias("orders"), F.sum("units").alias("units"), F.sum("revenue").alias("revenue")
+        )
+
+    return (
+        per_customer(tx, of_customers)
+        .groupBy("product_id", "category")
+        .agg(
+            F.count("customer_id").alias("customers"),
+            F.sum("orders").alias("orders"),
+            F.sum("units").cast("bigint").alias("total_units"),
+            F.sum("revenue").cast("double").alias("revenue"),
+        )
+    )
+
+
 def top_products(
-    tx: DataFrame,
+    tx: DataFrame | CustomerFacts,
     products: DataFrame,
     window: Window,
     brand_id: int,
@@ -43,17 +74,7 @@ def top_products(
         category=category,
         customer_not_null=True,
     ) & (F.col("is_new_brand") == F.lit(is_new))
-    per_product = (
-        tx.filter(pred)
-        .groupBy("product_id", "category")
-        .agg(
-            F.countDistinct("customer_id").alias("customers"),
-            F.countDistinct("order_id").alias("orders"),
-            F.sum("units").cast("bigint").alias("total_units"),
-            F.sum("gross_revenue").cast("double").alias("revenue"),
-        )
-        .join(products.select("product_id", "product_title"), "product_id")
-    )
+    per_product = product_measures(tx, pred).join(products.select("product_id", "product_title"), "product_id")
     top = per_product.orderBy(F.desc("total_units"), F.asc("product_id")).limit(k)
     ranked = top.withColumn(rank_col, F.rank().over(W.orderBy(F.desc("total_units"))).cast("bigint"))
     return ranked.select(rank_col, *MEASURES)

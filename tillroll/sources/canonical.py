@@ -12,14 +12,13 @@ in which partitions are combined.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.plans.ranking import row_number_by
 from tillroll.plans.written import written
-from tillroll.sources.tables import read_table
+from tillroll.sources.customers import CustomerFacts, first_of, write_customer_facts
+from tillroll.sources.tables import read_table, table_path
 
 # ---------------------------------------------------------------------------
 # Fixed values of the mapping (kept together, in natural order).
@@ -131,58 +130,71 @@ def transactions(spark: SparkSession, sf_dir: str, with_sequence: bool = False)
     return tx.select(*cols)
 
 
-_FACTS: dict[tuple, tuple[str, object]] = {}
-FACT_ROWS_PER_FILE = 5_000_000
-ROWS_PER_TASK = 2_000_000  # of the fact write: a few hundred MB
+_FACTS: dict[tuple, CustomerFacts] = {}
 
 
 def input_state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Identifies the application and the input files: what is kept for one
-    session or one set of files is not used for another."""
-    tables = ("lineitem", "orders", "part", "customer", "nation", "region")
-    files = [f for t in tables for f in read_table(spark, sf_dir, t).inputFiles()]
-    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(files))
+    """Identifies the application and the state of the input tables (size,
+    files and time of change): what is kept for one is not used for another."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in ("lineitem", "orders", "part", "customer", "nation", "region"):
+        path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, t))
+        fs = path.getFileSystem(conf)
+        summary = fs.getContentSummary(path)
+        out.append((summary.getLength(), summary.getFileCount(), fs.getFileStatus(path).getModificationTime()))
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(out)
 
 
-def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical order lines, written once per session into the shared
-    checkpoint folder, partitioned by order month and sorted by date inside.
-    Besides the line columns it carries ``order_sequence`` and the
-    first-purchase flags ``is_new_brand`` / ``is_new_category``.
+FIRST_PURCHASES = {"is_new_brand": ["brand_id"], "is_new_category": ["category"]}
+
+
+def customer_facts(spark: SparkSession, sf_dir: str) -> CustomerFacts:
+    """The canonical order lines, written once per application and state of the
+    inputs into the shared checkpoint folder, partitioned by order month and
+    bucketed by customer (``sources.customers``).  Besides the line columns they
+    carry ``order_sequence`` and the first-purchase flags ``is_new_brand`` /
+    ``is_new_category``.
 
     The four-way join (and the order numbering) then runs once instead of once
-    per analysis, and a date window reads only its months: every analysis
-    filters ``order_month`` next to ``order_date`` (see ``valid_line``), which
-    prunes partitions, and the date sort lets parquet statistics skip row
-    groups inside them.  The write goes through Spark's commit protocol, so a
-    lost executor only re-runs its tasks; the written table also cuts the
-    lineage of everything that reads it.
+    per analysis; a date window reads only its months: every analysis filters
+    ``order_month`` next to ``order_date`` (see ``valid_line``), which prunes
+    partitions; a step per customer needs no shuffle; and files are sorted by
+    brand, so an analysis of one brand skips the other row groups.  The joined lines
+    cross the network once more, by customer; the flags, which need the whole
+    history of a customer, ride along as windows.  Writes go through Spark's
+    commit protocol, so a lost executor only re-runs its tasks; the written
+    table also cuts the lineage of everything that reads it.
     """
     key = input_state(spark, sf_dir)
-    cached = _FACTS.get(key)
-    if cached is None:
-        from tillroll.session import shared_dir
-
-        # The joined lines are written once; the row output and both
-        # first-purchase aggregates read that table.
+    if key not in _FACTS:
         joined = written(transactions(spark, sf_dir, with_sequence=True), "joined-lines")
-        # First-purchase flags need the whole history; computing them here
-        # once lets the analyses read only the months of their windows.
-        tx = with_first_purchase_flags(joined, {"is_new_brand": ["brand_id"], "is_new_category": ["category"]})
-        path = shared_dir(spark, "fact_transactions")
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(joined.count() / ROWS_PER_TASK))
-        (
-            tx.repartitionByRange(n, "order_date", "order_id")
-            .sortWithinPartitions("order_date")
-            .write.partitionBy("order_month")
-            # bounded files however large a task's date range is
-            .option("maxRecordsPerFile", FACT_ROWS_PER_FILE)
-            .parquet(path)
-        )
-        cached = (path, tx.schema)
-        _FACTS[key] = cached
-    path, schema = cached
-    return spark.read.schema(schema).parquet(path)
+        _FACTS[key] = write_customer_facts(
+            spark, joined, first_purchase_windows, lambda hot: with_first_purchase_flags(hot, FIRST_PURCHASES),
+            cluster=["brand_id"], bloom=["product_id"],
+        )
+    return _FACTS[key]
+
+
+def fact_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of ``customer_facts``."""
+    return customer_facts(spark, sf_dir).lines()
+
+
+def first_purchase_windows(lines: DataFrame) -> DataFrame:
+    """``with_first_purchase_flags`` for lines distributed by customer: windows
+    over (customer, brand) and (customer, category), without a shuffle.  A NULL
+    key has no first purchase, as in the join."""
+    day = F.col("order_date")
+    flags = {}
+    for name, by in FIRST_PURCHASES.items():
+        keys = ["customer_id", *by]
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        flags[name] = F.coalesce(known & (day == first_of(valid_base_filter(), day, keys)), F.lit(False))
+    return lines.withColumns(flags)
 
 
 def with_line_measures(tx: DataFrame) -> DataFrame:
@@ -217,7 +229,7 @@ def with_first_purchase_flags(tx: DataFrame, flags: dict[str, list[str]]) -> Dat
 
     Each first date is a grouped MIN over the valid lines (combined map-side),
     written and joined back on its keys, so that the lines of a hot customer
-    can be split (plans.written).
+    can be split (plans.written).  Used for the hot part of the facts.
     """
     out = tx
     for name, by in flags.items():
@@ -493,6 +505,7 @@ def daily_base(tx: DataFrame) -> DataFrame:
         F.concat(F.lit("US_"), "category").alias("us_category"),
         F.concat_ws("_", F.lit("US"), "category", odd.cast("string")).alias("us_subcategory"),
         (F.col("brand_id") % 3 == 0).cast("int").alias("partnership_flag"),
+        F.col("region").alias("country_name"),  # an optional dimension of the KPIs
     )
 
 
