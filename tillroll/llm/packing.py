@@ -21,9 +21,11 @@ from __future__ import annotations
 import gc
 import math
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,23 +40,23 @@ DIMS = 3
 BITS = 10  # per dimension of the curve
 TASK_TOKENS = 32 << 20  # ids a task sorts
 SLICES_A_TASK = 4
-_CACHE_WORDS = 300_000  # words, and
-_CACHE_PARTS = 500_000  # stems and marks, kept by a worker process with their ids
+_CACHE_WORDS = 400_000  # stems and marks kept by a worker process with their ids
+_BATCH_BYTES = 4 << 20  # text tokenised at once (one longer document is alone)
 _words: dict = {}  # of this worker process: path -> _Words
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Words(dict):
-    """{word between ASCII spaces: its ids as little-endian uint32}.  The
-    tokenizer never joins across ASCII white space, so a text's ids are its
+class _Words:
+    """The ids of strings, kept for a bounded number of them.
+
+    The tokenizer never joins across ASCII white space, so a text's ids are its
     words' ids in order.  Nor does it join Latin letters and the marks after
     them, so a word like ``Then,!`` is the ids of ``then`` and of ``,!``: far
     fewer different strings are tokenised than there are words."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.last = np.zeros(1 << 17, dtype=bool)  # ids that end a piece
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.last[i] = token.endswith("</w>")
@@ -62,58 +64,79 @@ class _Words(dict):
     def _pieces(self, new: list[str]) -> list[bytes]:
         """The ids of strings that are one piece each: tokenised as one text, cut
         where an id ends a piece."""
-        e = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+        e = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.last[e]) + 1
         if len(ends) != len(new):  # not met with this tokenizer; then one by one
-            return self._words(new)
+            return self._whole(new)
         b, cut = e.tobytes(), [0, *(4 * ends).tolist()]
         return [b[i:j] for i, j in zip(cut, cut[1:])]
 
-    def _words(self, new: list[str]) -> list[bytes]:
+    def _whole(self, new: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
 
-    def learn(self, words: set[bytes]) -> None:
-        new = words - self.keys()
-        if len(self) + len(new) > _CACHE_WORDS:
-            self.clear()
-            new = words
-        if len(self.parts) > _CACHE_PARTS:
-            self.parts.clear()
-        split = [(w, *_split(w)) for w in new]
-        parts = self.parts
-        stems = {s for _, s, _, one in split if one and s not in parts}
-        odd = {s for _, s, _, one in split if not one and s not in parts}
-        stems.update(m for _, _, m, _ in split if m and m not in parts)
-        for todo, encode in ((list(stems), self._pieces), (list(odd), self._words)):
-            for at in range(0, len(todo), 20_000):
-                parts.update(zip(todo[at : at + 20_000], encode(todo[at : at + 20_000])))
-        for w, s, m, _ in split:
-            self[w] = parts[s] + parts[m] if m else parts[s]
+    def of(self, strings: list[str], whole: bool) -> list[bytes]:
+        """Ids of distinct strings; ``whole``: words, not one piece each."""
+        new = [x for x in strings if x not in self.known]
+        if len(self.known) + len(new) > _CACHE_WORDS:  # the older half goes
+            self.known = {"": b""} | dict(islice(self.known.items(), len(self.known) // 2, None))
+            new = [x for x in strings if x not in self.known]
+        encode = self._whole if whole else self._pieces
+        for at in range(0, len(new), 20_000):
+            self.known.update(zip(new[at : at + 20_000], encode(new[at : at + 20_000])))
+        return list(map(self.known.__getitem__, strings))
 
     def ids(self, texts: list) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        out = []
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
-            self.learn(set().union(*part))
-            out += [b"".join(map(self.__getitem__, w)) for w in part]
-        return out
+        """The ids of each text as little-endian uint32."""
+        return [a.tobytes() for a in self.arrays(pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string()))]
+
+    def arrays(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text: words are split, parted and numbered as
+        columns, and only distinct parts are looked up."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        bounds = words.offsets.to_numpy()
+        found = words.values.dictionary_encode()
+        stems, marks, one = _split(found.dictionary)
+        place = np.zeros((len(one), 2), dtype=np.int64)  # of a word's two parts in the table
+        table: list[bytes] = []
+        for column, strings, whole in ((0, stems.filter(one), False), (0, stems.filter(pc.invert(one)), True), (1, marks, False)):
+            parts = strings.dictionary_encode()
+            rows = slice(None) if column else np.flatnonzero(one.to_numpy(zero_copy_only=False) != whole)
+            place[rows, column] = parts.indices.to_numpy() + len(table)
+            table += self.of(parts.dictionary.to_pylist(), whole)
+        size = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        flat, ends = _joined(np.frombuffer(b"".join(table), dtype="<u4"), size, place.reshape(-1))
+        of_word = np.diff(ends[::2])  # both parts
+        ids, ends = _joined(flat, of_word, found.indices.to_numpy())
+        cut = ends[bounds - bounds[0]]
+        return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+def _joined(flat: np.ndarray, size: np.ndarray, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat`` (of these sizes, one behind the other) in the order of
+    ``sequence``, and where each begins and the last ends."""
+    n = size[sequence]
+    ends = np.zeros(len(n) + 1, dtype=np.int64)
+    np.cumsum(n, out=ends[1:])
+    shift = (np.cumsum(size) - size)[sequence] - ends[:-1]
+    return flat[np.repeat(shift, n) + np.arange(ends[-1])], ends
 
 
 #: Marks after a word that start no contraction and no special token.
 _MARKS = ".,!?;:|*%$&#"
+#: Letters whose lower case is one letter, too.
+_LATIN = "^[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+$"
 
 
-def _split(word: bytes) -> tuple[str, str, bool]:
-    """A word as lower-cased Latin letters and the marks after them, both one
-    piece to the tokenizer (True); any other word whole (False)."""
-    w = word.decode("utf-8", "replace")
-    stem = w.rstrip(_MARKS)
-    low = stem.lower()
-    if low.isalpha() and stem.isalpha() and max(stem) < "\u0250" and max(low) < "\u0250":
-        return low, w[len(stem) :], True
-    return w, "", False
+def _split(words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Words as lower-cased Latin letters and the marks after them, both one
+    piece to the tokenizer (True); any other word whole (False, no marks)."""
+    stems = pc.utf8_rtrim(words, characters=_MARKS)
+    low = pc.utf8_lower(stems)
+    one = pc.and_(pc.match_substring_regex(stems, _LATIN), pc.match_substring_regex(low, _LATIN))
+    # the marks are what follows the last character that is none
+    marks = pc.if_else(one, pc.replace_substring_regex(words, r"^.*[^.,!?;:|*%$&#]", ""), "")
+    return pc.if_else(one, low, words), marks, one
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -157,6 +180,13 @@ def curve_keys(ids: list[np.ndarray], bucket: np.ndarray, plane: np.ndarray) ->
     return hilbert(cells, BITS)
 
 
+def _runs(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal numbers."""
+    cut = np.flatnonzero(np.diff(numbers)) + 1
+    ends = [0, *cut.tolist(), len(numbers)]
+    return [(i, j) for i, j in zip(ends, ends[1:]) if i < j]
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, key, n, ids) of ``docs`` (doc_id, text), read from a written
     table so that tokens are made once.  key: Hilbert number, then 32 bits of a
@@ -174,14 +204,13 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         if tokenizer not in _words:
             _words[tokenizer] = _Words(tokenizer)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            doc_ids, spread = b.column("doc_id").to_pylist(), b.column("spread").to_pylist()
-            for at in range(0, len(texts), 1024):
-                got = _words[tokenizer].ids(texts[at : at + 1024])
-                arrays = [np.frombuffer(g, dtype="<u4") for g in got]
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()) // _BATCH_BYTES
+            for at, end in _runs(sizes):
+                arrays = _words[tokenizer].arrays(b.column("text").slice(at, end - at))
+                spread = b.column("spread").slice(at, end - at).to_numpy()
                 yield {
-                    "doc_id": doc_ids[at : at + 1024],
-                    "key": curve_keys(arrays, bucket, plane) << 32 | np.array(spread[at : at + 1024], dtype=np.int64),
+                    "doc_id": b.column("doc_id").slice(at, end - at),
+                    "key": curve_keys(arrays, bucket, plane) << 32 | spread,
                     "n": [len(a) + 1 for a in arrays],
                     "ids": [np.append(a, END_ID).astype("<u2" if a.max(initial=0) < 1 << 16 else "<u4").tobytes() for a in arrays],
                 }
