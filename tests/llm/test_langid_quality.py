@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -122,3 +123,33 @@ def test_quality_empty_and_extra_columns(spark):
     assert quality.op3_quality(docs.limit(0)).collect() == []
     got = quality.judge(docs, {}).collect()
     assert len(got) == docs.count() and all(r.char_divergence is None for r in got)
+
+
+@pytest.mark.parametrize("noise_first", [True, False])
+def test_lossy_counting_keeps_a_common_word_in_any_order(noise_first):
+    """Over two million different words and one with 0.55 % of all."""
+    noise = [b"n%d" % i for i in range(1_000_000)]
+    late = [b"common" if i % 91 == 0 else b"m%d" % i for i in range(1_000_000)]
+    words = noise + late if noise_first else late + noise
+    c = quality.Lossy(0.005, 100_000)
+    for at in range(0, len(words), 5_000):
+        c.add(words[at : at + 5_000])
+    share = words.count(b"common") / len(words)
+    assert (b"common" in c.frequent()) == (share >= 0.005) and len(c.frequent()) < 2000 and len(c.counts) <= 100_000
+    c.add([b"common"] * 2000)
+    assert b"common" in c.frequent()
+
+
+def test_references_do_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(0, 200)), rng.choice(["en", "fr"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [quality.references(df.repartition(n)) for n in (1, 40)]
+    assert [{k: (a.tolist(), set(w), sorted(c.tolist())) for k, (a, w, c) in g.items()} for g in got][0] == {
+        k: (a.tolist(), set(w), sorted(c.tolist())) for k, (a, w, c) in got[1].items()
+    }
+
+
+def test_distance_is_the_root_of_the_divergence():
+    a, b = np.array([1.0, 3, 0]), np.array([2.0, 2, 4])
+    assert quality.distance(a, b) == pytest.approx(quality.divergence(a, b) ** 0.5)

@@ -2,15 +2,16 @@
 
 Every document's histograms of character classes and of common words are
 compared with its language's reference histograms by Jensen-Shannon distance
-(base 2).  A document fails when either distance is above its limit plus a
-guard that shrinks with the number of words (short texts scatter more);
+(base 2), the root of the divergence.  A document fails when either distance is
+above its limit, which a guard widens for short texts, as they scatter more;
 documents under ``MIN_WORDS`` words are not judged by the distances.
 
 The references are counted over all rows.  Common words are those with at
 least ``SHARE`` of a language's words: a first pass finds candidates by lossy
 counting per task (a word with that share in the corpus has it in some task,
-and lossy counting keeps it), a second pass counts the candidates and the
-character classes exactly.
+and lossy counting keeps it, whatever the order of the rows), a second pass
+counts the candidates and the character classes exactly.  So the references do
+not depend on how rows are dealt to tasks.
 
 Defined cases: null or empty text has no words (``base_failed``); a null or
 unlearned language is compared with every reference, the smallest distance
@@ -34,7 +35,7 @@ SHARE = 0.005
 MIN_WORDS = 50
 CHAR_LIMIT = 0.06
 WORD_LIMIT = 0.06
-GUARD = 3.0  # a limit is CHAR_LIMIT or WORD_LIMIT + GUARD / n_words
+GUARD = 3.0  # a distance's limit is the root of CHAR_LIMIT or WORD_LIMIT + GUARD / n_words
 SYMBOLS = b"#*$%&|<>"
 _PRUNE_AT = 200_000  # entries of a task's counter before rare ones are dropped (lossy counting)
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -65,21 +66,45 @@ def _batches(batches):
         yield b.column("lang").to_pylist(), b.column("text").to_pylist()
 
 
+class Lossy:
+    """Lossy counting: words of at least ``share`` of all, counted in bounded
+    space.  An entry is (occurrences since it came, the most it can have had
+    before); it goes when both together are at most ``ERROR * share`` of the
+    words so far, so a count is short by that much at most, whatever the order
+    of the words."""
+
+    ERROR = 0.25
+
+    def __init__(self, share: float, prune_at: int):
+        self.share, self.prune_at = share, prune_at
+        self.total, self.counts, self.before, self.floor = 0, Counter(), {}, 0
+
+    def add(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), self.prune_at):
+            part = words[at : at + self.prune_at]
+            self.total += len(part)
+            self.counts.update(part)
+            if len(self.counts) > self.prune_at:
+                now = int(self.ERROR * self.share * self.total)
+                kept = ((w, n, self.before.get(w, self.floor)) for w, n in self.counts.items())
+                kept = [x for x in kept if x[1] + x[2] > now]
+                self.counts = Counter({w: n for w, n, _ in kept})
+                self.before, self.floor = {w: d for w, _, d in kept}, now
+
+    def frequent(self) -> list[bytes]:
+        """All words with ``share`` or more (and no word far below it)."""
+        least = self.share * self.total
+        return [w for w, n in self.counts.items() if n + self.before.get(w, self.floor) >= least]
+
+
 def _candidates(batches):
-    """Words with about half of SHARE or more in this task, by language."""
-    seen: dict = {}
+    """Words that can have SHARE of this task's words, by language."""
+    seen: dict[str, Lossy] = {}
     for langs, texts in _batches(batches):
         for lang, text in zip(langs, texts):
-            if lang is None or not text:
-                continue
-            n, c = seen.setdefault(lang, ([0], Counter()))
-            w = _bytes(text).translate(LOWER).split()
-            n[0] += len(w)
-            c.update(w)
-            if len(c) > _PRUNE_AT:
-                least = SHARE / 4 * n[0]
-                seen[lang] = (n, Counter({k: v for k, v in c.items() if v >= least}))
-    got = [(k, w) for k, (n, c) in seen.items() for w, v in c.items() if v >= SHARE / 2 * n[0]]
+            if lang is not None and text:
+                seen.setdefault(lang, Lossy(SHARE, _PRUNE_AT)).add(_bytes(text).translate(LOWER).split())
+    got = [(k, w) for k, c in seen.items() for w in c.frequent()]
     yield {"lang": [k for k, _ in got], "word": [w for _, w in got]}
 
 
@@ -139,6 +164,11 @@ def divergence(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, _entropy((a + b) / 2) - (_entropy(a) + _entropy(b)) / 2)
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jensen-Shannon distance: the root of the divergence."""
+    return divergence(a, b) ** 0.5
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that occur twice or more."""
     if len(words) < 4:
@@ -172,10 +202,10 @@ def _measure(text: str | None, lang: str | None, refs: dict) -> tuple:
             for k in c.keys() & at.keys():
                 v[at[k]] = c[k]
             v[-1] = n - v.sum()
-            best.append((divergence(own, classes), divergence(v, counts)))
+            best.append((distance(own, classes), distance(v, counts)))
         dc, dw = min(best, key=max)
     guard = GUARD / max(n, 1)
-    kept = not failed and (dc is None or (dc <= CHAR_LIMIT + guard and dw <= WORD_LIMIT + guard))
+    kept = not failed and (dc is None or (dc <= (CHAR_LIMIT + guard) ** 0.5 and dw <= (WORD_LIMIT + guard) ** 0.5))
     return n, chars, symbols, dup, rep, dc, dw, failed, kept
 
 
