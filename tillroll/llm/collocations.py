@@ -121,9 +121,9 @@ class _Chunk:
         self.tokens = np.frombuffer(expand(row["tokens"]), dtype=np.int32)
 
     def hashes(self) -> np.ndarray:
-        """Spark's xxhash64(lang, word) of every word."""
+        """``word_hash`` of every word."""
         seed = xxhash.xxh64_intdigest(self.lang.encode(), seed=42)
-        return np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) for w in self.words), dtype=np.uint64, count=len(self.words)).view(np.int64)
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed=seed) & 0xFFFFFFFF for w in self.words), dtype=np.int64, count=len(self.words))
 
     def grams(self, n: int) -> np.ndarray:
         """Word numbers of the ``n`` tokens from every start (0 behind the end)."""
@@ -131,6 +131,12 @@ class _Chunk:
         return np.stack([padded[k : k + self.starts] for k in range(n)])
 
 
+def word_hash() -> Column:
+    """The low 32 bits of a hash of the language and the word: buckets may hold
+    several phrases, so the hash may be short, and rows of two fit a number."""
+    return F.xxhash64("lang", "word").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def word_counts(chunks: DataFrame) -> DataFrame:
     """(lang, word, n) of all words."""
 
@@ -162,22 +168,22 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of a pair of word hashes; ``_mix_column`` is the same in Spark."""
-    return a ^ (b >> np.int64(17))
+    """A place in a bitmap for a pair of word hashes; ``_mix_column`` is the same in Spark."""
+    return a ^ (b >> 6)
 
 
 def _mix_column(a: str, b: str) -> Column:
-    return F.col(a).bitwiseXOR(F.shiftright(b, 17))
+    return F.col(a).bitwiseXOR(F.shiftright(b, 6))
 
 
 def bucket_sums(chunks: DataFrame, bits: list, n: int) -> DataFrame:
     """(h0, .., n): occurrences of ``n`` words whose bits are set, by the words'
     hashes, which hold the language (an upper bound for each phrase of the
-    bucket).
+    bucket).  Two hashes travel as one number.
 
     ``bits``: broadcast bitmaps, of the frequent words and, for three words,
     of the candidate pairs."""
-    names = [f"h{k}" for k in range(n)]
+    keys = ["h01", "h2"][: n - 1]
 
     def run(batches):
         for r in rows_of(batches):
@@ -197,10 +203,12 @@ def bucket_sums(chunks: DataFrame, bits: list, n: int) -> DataFrame:
             for x in g[1:]:
                 code = code * len(own) + x
             _, first, times = np.unique(code, return_index=True, return_counts=True)
-            yield {"n": times} | {k: h[own[x[first]]] for k, x in zip(names, g)}
+            found = [h[own[x[first]]] for x in g]
+            yield {"n": times, "h01": found[0] << 32 | found[1], "h2": found[-1]}
 
-    ddl = "n long, " + ", ".join(f"{k} long" for k in names)
-    return map_rows(chunks, ddl, run).groupBy(*names).agg(F.sum("n").alias("n"))
+    sums = map_rows(chunks, "n int, " + ", ".join(f"{k} long" for k in keys), run).groupBy(*keys).agg(F.sum("n").alias("n"))
+    parts = [F.shiftrightunsigned("h01", 32).alias("h0"), F.col("h01").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h1"), *keys[1:]]
+    return sums.select(*parts, "n")
 
 
 def _named(found: DataFrame, words: DataFrame, n: int) -> DataFrame:
@@ -329,7 +337,7 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, kept: int = KEPT, cover: i
     """Phrases of two and three words of ``docs`` (text, lang), the first
     ``kept`` of each language: lang, rank, phrase, a, l, r, n, score."""
     chunks = write_chunks(docs)
-    counts = word_counts(chunks).where(F.col("n") >= min_count).withColumn("h", F.xxhash64("lang", "word"))
+    counts = word_counts(chunks).where(F.col("n") >= min_count).withColumn("h", word_hash())
     words = saved(counts, "frequent-words")
     phrases = count_phrases(chunks, candidates(chunks, words, min_count), shard).where(F.col("a") >= min_count)
     rows = without_covered(scored(phrases, words), phrases, cover)
