@@ -11,6 +11,7 @@ November and LY for December): the join duplicates such lines on purpose.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,8 +154,10 @@ def reload_monthly_kpi(
     table: str,
     location: str,
     dims: list[str] = DIMS,
+    replace: Callable = replace_partitions,
 ) -> None:
-    """Replace the months of this run in the monthly table."""
+    """Replace the months of this run in the monthly table (B47); ``replace``
+    as in ``pricing.refresh_daily_prices``."""
     rows = monthly_kpi(spark, daily_base, calendar, brand_attr, as_of, dims)
     months = [m.start.strftime("%Y%m") for m in win.kpi_months(as_of)]
-    replace_partitions(spark, rows, table, location, "calendar_year_month", months)
+    replace(spark, rows, table, location, "calendar_year_month", months)

@@ -365,7 +365,7 @@ def q_monthly_kpi_table(spark, sf_dir):
     table = f"monthly_category_brand_agg_{uuid.uuid4().hex[:8]}"
     location = shared_dir(spark, table)
     for as_of in KPI_RELOADS:
-        kpi.reload_monthly_kpi(spark, *_kpi_inputs(spark, sf_dir), as_of, table, location)
+        kpi.reload_monthly_kpi(spark, *_kpi_inputs(spark, sf_dir), as_of, table, location, replace=snapshots.replace_partitions)
     return spark.table(table)
 
 
