@@ -35,14 +35,27 @@ def _pair_counts(tx: DataFrame, window: Window, target_brands: Iterable[int]) ->
     counts orders, combined map-side: pairs cross the network once.
     """
     basket = written(basket_lines(tx, window, target_brands), "basket")
-    a = basket.filter("is_target").select(*BASKET, F.col("brand_name").alias("target_brand"), F.col("product_id").alias("target_product_id"))
-    b = basket.select(*BASKET, F.col("brand_name").alias("co_brand"), F.col("product_id").alias("co_product_id"))
-    return (
-        a.join(b, BASKET)
-        .filter(F.col("target_product_id") != F.col("co_product_id"))
-        .groupBy("business_unit", "target_brand", "target_product_id", "co_brand", "co_product_id")
-        .agg(F.count(F.lit(1)).alias("orders_together"))
-    )
+    return _counted(_pairs(_targets(basket), _others(basket)))
+
+
+PAIR = ["business_unit", "target_brand", "target_product_id", "co_brand", "co_product_id"]
+
+
+def _targets(basket: DataFrame, *columns: str) -> DataFrame:
+    return basket.filter("is_target").select(*BASKET, F.col("brand_name").alias("target_brand"), F.col("product_id").alias("target_product_id"), *columns)
+
+
+def _others(basket: DataFrame, *columns: str) -> DataFrame:
+    return basket.select(*BASKET, F.col("brand_name").alias("co_brand"), F.col("product_id").alias("co_product_id"), *columns)
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A row per order and pair of different products in it."""
+    return a.join(b, BASKET).filter(F.col("target_product_id") != F.col("co_product_id"))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("orders_together"))
 
 
 def _with_titles(pairs: DataFrame, products: DataFrame) -> DataFrame:
@@ -77,10 +90,56 @@ def basket_cross_sell(
     lets Spark keep only k rows per product in each task before the shuffle
     (WindowGroupLimit); titles join the k rows.
     """
-    pairs = _pair_counts(tx, window, target_brands)
+    top = _ranked(_pair_counts(tx, window, target_brands), per_business_unit).filter(F.col("rank") <= k)
+    return _report(top, products)
+
+
+def _ranked(pairs: DataFrame, per_business_unit: bool) -> DataFrame:
     part = ["business_unit", "target_product_id"] if per_business_unit else ["target_product_id"]
     w = W.partitionBy(*part).orderBy(F.desc("orders_together"), "business_unit", "target_brand", "co_brand", "co_product_id")
-    top = pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w).cast("bigint"))
+
+
+def _report(top: DataFrame, products: DataFrame) -> DataFrame:
     return _with_titles(top, products).select(
         "business_unit", "target_brand", "target_product_id", "target_product_title", "co_brand", "co_product_id", "co_product_title", "orders_together", "rank"
     ).orderBy("business_unit", "target_product_id", F.desc("orders_together"))
+
+
+def bounded_pairs(basket: DataFrame, k: int, heavy: int, per_business_unit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a row per order) that can be among the first k of their target:
+    those with the ``heavy`` most sold products, and the rest within the bound.
+
+    A pair occurs in at most as many orders as its other product.  The pairs
+    with heavy products are counted first; the k-th of a target is a floor for
+    its first k pairs, so another product with fewer orders than the floor
+    cannot be among them, and its pairs are not formed.
+    """
+    part = ["business_unit", "target_product_id"] if per_business_unit else ["target_product_id"]
+    sold = written(basket.groupBy("business_unit", "brand_name", "product_id").agg(F.count(F.lit(1)).alias("orders")), "products-sold")
+    first = sold.orderBy(F.desc("orders"), "business_unit", "brand_name", "product_id").limit(heavy).withColumn("heavy", F.lit(True))
+    marked = sold.join(F.broadcast(first.drop("orders")), ["business_unit", "brand_name", "product_id"], "left")  # ``heavy`` rows
+    marked = written(basket.join(marked, ["business_unit", "brand_name", "product_id"]), "basket-with-orders")
+    seed = _pairs(_targets(marked), _others(marked.filter("heavy")))
+    floors = _ranked(_counted(seed), per_business_unit).filter(F.col("rank") == k).select(*part, F.col("orders_together").alias("floor"))
+    light = _others(marked.filter("heavy is null"), "orders")
+    targets = _targets(marked).join(written(floors, "pair-floors"), part, "left")
+    return seed, _pairs(targets, light).filter(F.col("orders") >= F.coalesce("floor", F.lit(0))).drop("orders", "floor")
+
+
+def basket_cross_sell_bounded(
+    tx: DataFrame,
+    products: DataFrame,
+    window: Window,
+    target_brands: Iterable[int],
+    k: int = 3,
+    per_business_unit: bool = False,
+    heavy: int = 512,
+) -> DataFrame:
+    """``basket_cross_sell`` with pairs left out that cannot reach the first k
+    (``bounded_pairs``).  Pays where few products make most orders: then the
+    floors are high and most other products lie below them."""
+    basket = written(basket_lines(tx, window, target_brands), "basket")
+    seed, rest = bounded_pairs(basket, k, heavy, per_business_unit)
+    pairs = _counted(seed).unionByName(_counted(rest))
+    return _report(_ranked(pairs, per_business_unit).filter(F.col("rank") <= k), products)

@@ -28,8 +28,8 @@ from tillroll.plans.written import written
 from tillroll.session import shared_dir
 
 KEY = "customer_id"
-BUCKET_ROWS = 4_000_000  # lines of a bucket: a few hundred MB over all months
-HOT_ROWS = 1_000_000  # lines of a customer that goes to the hot part
+BUCKET_ROWS = 64_000_000  # lines of a bucket over all months: tens of MB a month file, a year's window a few GB at most
+HOT_ROWS = 4_000_000  # lines of a customer that goes to the hot part
 FILE_ROWS = 5_000_000
 
 
