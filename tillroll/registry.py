@@ -80,7 +80,7 @@ YEAR_SO_FAR = win.year_to_date(MIX_AS_OF)
 LAST_YEAR = win.trailing_year(AS_OF)
 THIS_YEAR = win.year_to_yesterday(AS_OF)
 PRICE_WINDOWS = [win.last_days(a, 16) for a in PRICE_RELOADS]
-THREE_DAYS = win.Window(LAST_YEAR.end - dt.timedelta(days=2), LAST_YEAR.end)
+LAST_MONTH = win.Window(LAST_YEAR.end.replace(day=1), LAST_YEAR.end)
 TWO_YEARS = win.Window(dt.date(1999, 7, 1), dt.date(2001, 6, 30))
 KPI_COUNTRY_DIMS = ["country_name", "category", "brand_name"]
 PRICE_LOCALE, PRICE_CURRENCY = 6, 1
@@ -189,10 +189,10 @@ def q_activity_buckets(spark, sf_dir):
 
 @register("activity_buckets_fallback")
 def q_activity_buckets_fallback(spark, sf_dir):
-    """Three days: with no repeat purchase there are no bounds, and customers
+    """A month: with no repeat purchase there are no bounds, and customers
     get the fallback label."""
-    rhythm = reo.customer_rhythm(_facts(spark, sf_dir), THREE_DAYS, ACTIVITY_BRAND, None, **_ALL)
-    return reo.activity_buckets(reo.recency_of(rhythm, THREE_DAYS), reo.rhythm_stats(rhythm))
+    rhythm = reo.customer_rhythm(_facts(spark, sf_dir), LAST_MONTH, ACTIVITY_BRAND, None, **_ALL)
+    return reo.activity_buckets(reo.recency_of(rhythm, LAST_MONTH), reo.rhythm_stats(rhythm))
 
 
 @register("active_elsewhere")
