@@ -1,6 +1,7 @@
 """The customer layout: same rows as without it, no shuffle by customer, and a
 customer with a third of all lines apart from the buckets."""
 
+import os
 import re
 
 import pytest
@@ -153,3 +154,15 @@ def test_one_brand_reads_few_row_groups(spark, cluster, bloom):
     brand = scanned_rows(df.where("brand_id = 7").select("id"))
     assert df.where("brand_id = 7").count() == lines.where("brand_id = 7").count()
     assert (brand < 60_000) == bool(cluster)
+
+
+def test_buckets_and_bloom_filters_follow_the_lines(spark):
+    """A task sorts a bucket's lines: under a million of them; a filter is as
+    large as its file's values need, not 1 MB a file."""
+    from tillroll.sources.customers import BUCKET_ROWS
+
+    assert BUCKET_ROWS <= 1_000_000 and HOT_ROWS <= 1_000_000
+    lines = spark.range(3000).select((F.col("id") % 50).alias("customer_id"), F.lit(200001).alias("order_month"), "id")
+    facts = write_customer_facts(spark, lines, bucket_rows=1000, bloom=["id"])
+    sizes = [os.path.getsize(f.removeprefix("file://")) for f in facts.regular.inputFiles()]
+    assert len(sizes) >= 3 and max(sizes) < 100_000
