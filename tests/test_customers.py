@@ -166,3 +166,9 @@ def test_buckets_and_bloom_filters_follow_the_lines(spark):
     facts = write_customer_facts(spark, lines, bucket_rows=1000, bloom=["id"])
     sizes = [os.path.getsize(f.removeprefix("file://")) for f in facts.regular.inputFiles()]
     assert len(sizes) >= 3 and max(sizes) < 100_000
+
+
+def test_joined_lines_carry_no_derived_columns(spark):
+    narrow, whole = canon.joined_lines(spark, SF), canon.transactions(spark, SF)
+    assert len(narrow.columns) == 18 and whole.columns == canon.LINE_COLUMNS
+    assert narrow.count() == whole.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
