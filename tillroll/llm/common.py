@@ -28,6 +28,16 @@ def is_fold(doc_id: Column, n: int, k: int) -> Column:
     return F.coalesce(fold(doc_id, n) == k, F.lit(False))
 
 
+def give_back(batches):
+    """``batches``; Arrow's memory that is free by then goes back to the system.
+    Worker processes are used again, and the memory that one task needed would
+    else stand beside what a later stage needs."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def with_columns(df: DataFrame, inputs: list[str], ddl: str, fn: Callable[..., dict]) -> DataFrame:
     """``df`` with columns computed per Arrow batch: ``fn(*lists of inputs)``
     returns {column: list}.  Other columns pass through unchanged; a column of
@@ -45,7 +55,7 @@ def with_columns(df: DataFrame, inputs: list[str], ddl: str, fn: Callable[..., d
             cols += [pa.array(got[f.name], type=to_arrow_type(f.dataType)) for f in added]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], names=schema.names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: give_back(run(batches)), out)
 
 
 def map_rows(df: DataFrame, ddl: str, fn: Callable) -> DataFrame:
@@ -57,7 +67,7 @@ def map_rows(df: DataFrame, ddl: str, fn: Callable) -> DataFrame:
         for got in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(lambda batches: give_back(run(batches)), out)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

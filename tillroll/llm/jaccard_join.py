@@ -227,15 +227,17 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def _bucket_links(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate links (a, b) inside buckets of (key, rep)."""
-    rows = members.join(reps.select("rep", "sig"), "rep")
+    """Candidate links (a, b) inside buckets of (key, rep).  Coordinates are
+    compared by their low bytes, so only these are sent to the buckets."""
+    low = F.concat(*[F.substring("sig", 4 * c + 1, 1) for c in range(T)])
+    rows = members.join(reps.select("rep", low.alias("low")), "rep")
 
     def run(batches):
         for g in _groups(batches, "key"):
             rep = np.array(g["rep"], dtype=np.int64)
             if len(rep) < 2:
                 continue
-            s = (np.frombuffer(b"".join(g["sig"]), dtype=np.uint32).reshape(-1, T) & np.uint32(0xFF)).astype(np.uint8)
+            s = np.frombuffer(b"".join(g["low"]), dtype=np.uint8).reshape(-1, T)
             same = np.zeros((len(rep), len(rep)), dtype=np.int16)
             for c in range(T):
                 same += s[:, c, None] == s[None, :, c]

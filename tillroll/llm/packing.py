@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tillroll.llm.common import map_rows
+from tillroll.llm.common import give_back, map_rows
 from tillroll.session import shared_dir
 
 SEQUENCE = 4096
@@ -112,6 +112,19 @@ class _Words:
         return [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+def _table(path: str) -> _Words:
+    """This worker process's table.  Only functions of a module see the module's
+    ``_words``: what runs inside a task gets a copy of the names it uses, and
+    with it a table that is loaded anew and stays until garbage is collected."""
+    if path not in _words:
+        _words[path] = _Words(path)
+    return _words[path]
+
+
+def _forget() -> None:
+    _words.clear()
+
+
 def _joined(flat: np.ndarray, size: np.ndarray, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``flat`` (of these sizes, one behind the other) in the order of
     ``sequence``, and where each begins and the last ends."""
@@ -201,12 +214,11 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def tokenise(batches):
         bucket, plane = _plane()
-        if tokenizer not in _words:
-            _words[tokenizer] = _Words(tokenizer)
+        words = _table(tokenizer)
         for b in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy()) // _BATCH_BYTES
             for at, end in _runs(sizes):
-                arrays = _words[tokenizer].arrays(b.column("text").slice(at, end - at))
+                arrays = words.arrays(b.column("text").slice(at, end - at))
                 spread = b.column("spread").slice(at, end - at).to_numpy()
                 yield {
                     "doc_id": b.column("doc_id").slice(at, end - at),
@@ -214,6 +226,8 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
                     "n": [len(a) + 1 for a in arrays],
                     "ids": [np.append(a, END_ID).astype("<u2" if a.max(initial=0) < 1 << 16 else "<u4").tobytes() for a in arrays],
                 }
+                del arrays
+                pa.default_memory_pool().release_unused()  # else it keeps several groups' memory
 
     rows = docs.select("doc_id", "text", F.coalesce(F.xxhash64("doc_id"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("spread"))
     path = shared_dir(docs.sparkSession, "packing-tokens")
@@ -239,6 +253,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, task_tokens:
     schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
     def run(batches):
+        _forget()  # tokens are made
         now, at = None, 0
         for b in batches:
             out: list = []
@@ -255,7 +270,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, task_tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], schema=schema)
 
     dealt = rows.repartition(wanted, "slice").sortWithinPartitions("slice", "key", "doc_id", "ids")
-    return dealt.mapInArrow(run, PIECES)
+    return dealt.mapInArrow(lambda batches: give_back(run(batches)), PIECES)
 
 
 def _rank(key: Column, border: Column, n: int) -> Column:
