@@ -147,6 +147,50 @@ def test_places_of_anchors():
         assert bytes(r[10 : 10 + S.SIDE])[S.SIDE - r[8] :] == left and bytes(r[10 + S.SIDE :])[: r[9]] == right
 
 
+def test_places_by_brute_force():
+    rng = random.Random(37)
+    for k in range(60):
+        t = bytes(rng.choice(b"abc"[: k % 4 or 3]) for _ in range(rng.randint(50, 300)))
+        t = t + t[: rng.randrange(len(t))] if k % 2 else t
+        g, m = S.names(t)
+        hot = np.unique(m)[rng.randrange(2) :: rng.choice([1, 2])]
+        if not len(hot):
+            continue
+        want = [(i, i + int(np.argmin(g[i : i + 35]))) for i in range(len(m)) if m[i] in hot]
+        on, place, p, _ = S._places(t, g, m, hot)
+        assert list(zip(on.tolist(), place.tolist())) == want and p.tolist() == sorted({x for _, x in want})
+        if len(on):
+            for (back, ahead), x in zip(S._needed(on, place, p).tolist(), p.tolist()):
+                starts = [i for i, y in want if y == x]
+                assert x - back == starts[0] and x + 16 + ahead == starts[-1] + S.WINDOW and len(starts) == starts[-1] - starts[0] + 1
+
+
+def test_places_look_up_anchors_not_bytes(monkeypatch):
+    t = prose(random.Random(38), 2000).encode()
+    g, m = S.names(t)
+    hot, looked, real = np.unique(m), [], np.searchsorted
+    monkeypatch.setattr(S.np, "searchsorted", lambda a, v, *k, **kw: looked.append(np.size(v)) or real(a, v, *k, **kw))
+    assert len(S._places(t, g, m, hot)[0]) == len(m)
+    assert sum(looked) < len(t) / 2
+
+
+def test_names_are_not_worked_out_again_for_the_answers(spark, monkeypatch):
+    rng = random.Random(39)
+    shared = prose(rng, 60)
+    rows = [(i, prose(rng, 30) + shared[: rng.randrange(400)] + prose(rng, 20), "en") for i in range(40)]
+    rows += [(90, rows[3][1], "en"), (None, shared, "en"), (91, None, "en"), (92, "short", "en")]
+    met, real = [], C.meet
+    monkeypatch.setattr(C, "meet", lambda chunks, answers, ddl, fn: met.append((chunks, answers, fn)) or real(chunks, answers, ddl, fn))
+    S.deduplicate(frame(spark, rows), 4000)
+    chunks, answers, fn = met[-1]
+    monkeypatch.setattr(S, "names", None)
+    got = []
+    for r in chunks.collect():
+        out = fn(r.asDict(), {a.part: bytes(a.blob) for a in answers.where(F.col("chunk") == r.chunk).collect()})
+        got += list(zip(*(out[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))))
+    assert sorted(got, key=str) == brute_dedup(rows)
+
+
 def test_chunks_keep_every_document(spark):
     rows = corpus(35, 60)
     df = frame(spark, rows).withColumn("kind", F.lit(0))

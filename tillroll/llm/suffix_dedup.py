@@ -15,10 +15,11 @@ Most buckets are found to be single without naming their windows to others: of
 a window's 35 16-byte names the smallest is its anchor, equal windows have
 equal anchors, and a first round asks only which anchors occur in several
 documents (about one anchor for 18 bytes).  The second round sends, for each
-place of such an anchor, the ``SIDE`` bytes on either side; the windows around
-the anchor are named and compared where the places meet, 35 for every place
-sent.  Whole documents take part in the first round as well: exact copies of a
-document with a smaller id need no second round.
+place of such an anchor, those of the ``SIDE`` bytes on either side that its own
+windows have; these windows are named and compared where the places meet, at
+most 35 for every place sent.  A chunk's places are found once and wait beside
+the questions for the answers.  Whole documents take part in the first round as
+well: exact copies of a document with a smaller id need no second round.
 
 Defined cases: null text is empty; a document shorter than a window keeps all;
 documents with a null id keep all and remove nothing elsewhere; equal ids do
@@ -29,6 +30,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import io
 
 import numpy as np
 import xxhash
@@ -41,13 +43,16 @@ from tillroll.llm.common import map_rows, saved
 WINDOW = 50
 GRAM = 16
 SIDE = WINDOW - GRAM  # bytes on either side of an anchor that its windows can reach
+SPAN = SIDE + 1  # 16-byte names inside a window
+NOTE = 1 << 62  # with a chunk's number: the part under which its last step finds its places
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Name of the bucket (a, then b)."""
-    x = a * _A + b
+    x = a * _A
+    x += b
     x ^= x >> np.uint64(29)
     x *= _B
     x ^= x >> np.uint64(32)
@@ -60,20 +65,47 @@ def names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        x = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-        for k in (1, 2, 4):  # 8 bytes as one number
-            x = x[:-k] | x[k:] << np.uint64(8 * k)
+        x = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))  # 8 bytes as one number
         g16 = _join(x[:-8], x[8:])
-        del x
-        span = WINDOW - GRAM + 1  # 16-byte names inside a window
         m, k = g16, 1
-        while 2 * k <= span:
+        while 2 * k <= SPAN:
             m = np.minimum(m[:-k], m[k:])
             k *= 2
-        m = np.minimum(m[: n], m[span - k : span - k + n])
+        m = np.minimum(m[: n], m[SPAN - k : SPAN - k + n])
     return g16, m
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Where runs of one value start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _smallest(g16: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Places whose 16-byte name is the anchor of a window around them."""
+    x, k = np.concatenate([np.zeros(SIDE, dtype=np.uint64), m, np.zeros(SIDE, dtype=np.uint64)]), 1
+    while 2 * k <= SPAN:
+        x = np.maximum(x[:-k], x[k:])
+        k *= 2
+    return np.flatnonzero(g16 == np.maximum(x[: len(g16)], x[SPAN - k : SPAN - k + len(g16)]))
+
+
+def _among(hot: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``x`` are in the sorted ``hot``, and where there."""
+    at = np.searchsorted(hot, x)
+    on = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == x)
+    return on, at[on]
+
+
+def _counted(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """From each start on, as many numbers as its size."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    k = np.sort(np.concatenate(keys)) if keys else np.zeros(0, dtype=np.uint64)
+    return k[_steps(k)] if len(k) else k
+
+
 def _digest(t: bytes) -> int:
     return xxhash.xxh64_intdigest(t, seed=WINDOW)
 
@@ -165,14 +197,24 @@ def _places(t: bytes, g16: np.ndarray, m: np.ndarray, hot: np.ndarray):
     """Windows of a text whose anchor is in ``hot``: their starts, the places
     of their anchors (the first at or after the start), and for each distinct
     place a row: name, bytes to the left and right that there are, the bytes."""
-    at = np.searchsorted(hot, m)
-    on = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == m)
-    of = np.searchsorted(hot, g16)
-    cand = np.flatnonzero(hot[np.minimum(of, len(hot) - 1)] == g16)
+    first = _steps(m)
+    end = np.append(first[1:], len(m))
+    run, at = _among(hot, m[first])
+    first, end = first[run], end[run]
+    cand = _smallest(g16, m)
+    of, key = _among(hot, g16[cand])
     n = len(g16) + 1
-    keys = np.sort(of[cand].astype(np.int64) * n + cand)
-    place = keys[np.searchsorted(keys, at[on].astype(np.int64) * n + on)] % n
-    p = np.unique(place)
+    keys = np.sort(key * n + cand[of])
+    # the windows of a run pass one place of their anchor after another
+    low = np.searchsorted(keys, at * n + first)
+    size = np.searchsorted(keys, at * n + end - 1) + 1 - low
+    p = keys[_counted(low, size)] % n
+    last = np.cumsum(size) - 1
+    stop = p + 1
+    stop[last] = end
+    start = np.append(0, stop)[:-1]
+    start[last - size + 1] = first
+    on, place = _counted(start, stop - start), np.repeat(p, stop - start)
     rows = np.zeros((len(p), 10 + 2 * SIDE), dtype=np.uint8)
     rows[:, :8] = g16[p].astype(">u8").view(np.uint8).reshape(-1, 8)
     rows[:, 8] = np.minimum(p, SIDE)
@@ -183,40 +225,88 @@ def _places(t: bytes, g16: np.ndarray, m: np.ndarray, hot: np.ndarray):
     return on, place, p, rows
 
 
+def _needed(on: np.ndarray, place: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The bytes to the left and right of each place that its windows have."""
+    at = np.searchsorted(place, p)
+    last = np.append(at[1:], len(on)) - 1
+    return np.stack([p - on[at], SIDE - p + on[last]], axis=1).astype(np.uint8)
+
+
 def _second(row: dict, parts: dict[int, bytes], bits: int):
-    """Documents of a chunk after round one: by position whether it is a copy
-    of a smaller id, or its places; and the chunk's distinct rows with their
-    smallest id."""
+    """A chunk after round one: its distinct rows, with the bytes that no window
+    has as zeros, and their smallest ids; and what round two does not change, by
+    document: is it a copy of a smaller id, how many places; by place: where,
+    which row, has the row a smaller id, and if so which bytes its windows have."""
     docs = C.Docs(row)
     keys, low, _, own = _copies(docs)
     _, smaller = _answers(parts, 1, keys, bits)
-    gone = {i for i, h in own.items() for at in (int(np.searchsorted(keys, np.uint64(h))),) if smaller[at] or docs.ids[i] > low[at]}
+    gone = np.zeros(len(docs.ids), dtype=bool)
+    for i, h in own.items():
+        at = int(np.searchsorted(keys, np.uint64(h)))
+        gone[i] = smaller[at] or docs.ids[i] > low[at]
     named = list(_named(docs))
-    anchors = np.unique(np.concatenate([np.unique(x[4]) for x in named])) if named else np.zeros(0, dtype=np.uint64)
+    anchors = _distinct([x[4][_steps(x[4])] for x in named])
     shared, _ = _answers(parts, 0, anchors, bits)
     hot = anchors[shared]
     found = {}
     while named:  # the names of a document are given back once its places are known
         i, _, t, g16, m = named.pop()
-        if i not in gone and len(hot) and len((x := _places(t, g16, m, hot))[0]):
-            found[i] = x
+        if not gone[i] and len(hot) and len((x := _places(t, g16, m, hot))[0]):
+            found[i] = x[2], x[3], _needed(*x[:3])
     order = sorted(found, key=lambda i: docs.ids[i])
-    rows = np.concatenate([found[i][3] for i in order]) if order else np.zeros((0, 10 + 2 * SIDE), dtype=np.uint8)
-    ids = np.repeat(np.array([docs.ids[i] for i in order], dtype=np.int64), [len(found[i][2]) for i in order])
+    count = np.zeros(len(docs.ids), dtype=np.int64)
+    count[order] = [len(found[i][0]) for i in order]
+    rows = np.concatenate([found[i][1] for i in order]) if order else np.zeros((0, 10 + 2 * SIDE), dtype=np.uint8)
+    if order:
+        rows[:, 8:10] = np.concatenate([found[i][2] for i in order])
+    rows[:, 10 : 10 + SIDE] *= np.arange(SIDE, 0, -1) <= rows[:, 8:9]
+    rows[:, 10 + SIDE :] *= np.arange(SIDE) < rows[:, 9:10]
+    ids = np.repeat(docs.ids[order], count[order])
     _, first, at = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
-    ends = np.cumsum([len(found[i][2]) for i in order])
-    where = {i: at[e - len(found[i][2]) : e] for i, e in zip(order, ends)}
-    return docs, gone, found, where, rows[first], ids[first]
+    p = np.concatenate([found[i][0] for i in order]) if order else np.zeros(0, dtype=np.int64)
+    less = ids[first][at] < ids
+    return rows[first], ids[first], (gone, np.array(order, dtype=np.uint32), count, p, at, less, rows[less, 8:10])
+
+
+def _by_byte(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _from_bytes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.T).view("<u4").reshape(-1)
+
+
+def _note(rows: np.ndarray, known: tuple, bits: int) -> bytes:
+    """What the chunk's last step takes from ``_second``."""
+    gone, order, count, p, at, less, needed = known
+    parts = C.pack_keys(_keys(rows), bits)
+    of = np.array([part for part, _ in parts], dtype=np.int64)
+    sizes = np.array([x.stop - x.start for _, x in parts], dtype=np.int64)
+    out = io.BytesIO()
+    for a in (gone, order, count, _by_byte(np.diff(p, prepend=0)), _by_byte(at), np.packbits(less), needed, of, sizes):
+        np.save(out, a, allow_pickle=False)
+    return C.squeeze(out.getvalue())
+
+
+def _noted(blob: bytes) -> tuple:
+    f = io.BytesIO(C.expand(blob))
+    gone, order, count, p, at, less, needed, of, sizes = (np.load(f, allow_pickle=False) for _ in range(9))
+    p, at = np.cumsum(_from_bytes(p), dtype=np.uint32).astype(np.int64), _from_bytes(at)
+    return gone, order, count, p, at, np.unpackbits(less, count=len(at)).astype(bool), needed, of, sizes
+
+
+def _keys(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def _sides(rows: np.ndarray, ids: np.ndarray, bits: int):
     """Questions of round two: (part, blob) of sorted distinct rows."""
-    keys = np.ascontiguousarray(rows[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
+    keys = _keys(rows)
     for part, at in C.pack_keys(keys, bits):
         n, low = at.stop - at.start, int(ids[at].min())
         head = np.array([n, low], dtype=np.int64).tobytes()
         off = np.ascontiguousarray((ids[at] - low).view(np.uint8).reshape(n, 8).T).tobytes()
-        yield 2 << 32 | part, head + C.key_bytes(keys[at], bits) + C.squeeze(off + rows[at, 8:10].T.tobytes() + rows[at, 10:].tobytes(), 9)
+        yield 2 << 32 | part, head + C.key_bytes(keys[at], bits) + C.squeeze(off + rows[at, 8:10].T.tobytes() + rows[at, 10:].tobytes())
 
 
 def _windows(asked: list[tuple[int, bytes]], bits: int):
@@ -261,17 +351,18 @@ def _windows(asked: list[tuple[int, bytes]], bits: int):
         pos += n
 
 
-def _flags(parts: dict[int, bytes], rows: np.ndarray, bits: int) -> np.ndarray:
+def _flags(parts: dict[int, bytes], of: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The answers of round two for a chunk's rows."""
-    keys = np.ascontiguousarray(rows[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
-    out = np.zeros((len(rows), SIDE + 1), dtype=bool)
-    for part, at in C.pack_keys(keys, bits):
-        b = np.frombuffer(C.expand(parts[2 << 32 | part]), dtype=np.uint8).reshape(-1, at.stop - at.start).T
-        out[at] = np.unpackbits(b, axis=1, count=SIDE + 1)
+    out = np.zeros((int(sizes.sum()), SPAN), dtype=bool)
+    pos = 0
+    for part, n in zip(of.tolist(), sizes.tolist()):
+        b = np.frombuffer(C.expand(parts[2 << 32 | part]), dtype=np.uint8).reshape(-1, n).T
+        out[pos : pos + n] = np.unpackbits(b, axis=1, count=SPAN)
+        pos += n
     return out
 
 
-def _spans(n: int, starts: np.ndarray) -> list[tuple[int, int]]:
+def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs covered by windows at sorted starts."""
     if not len(starts):
         return []
@@ -281,6 +372,21 @@ def _spans(n: int, starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[i]), int(starts[j]) + WINDOW) for i, j in zip(a, b)]
 
 
+def _repeated(parts: dict[int, bytes], note: bytes) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+    """By position in the chunk: is the document a copy of a smaller id; the
+    runs covered by windows that a smaller id has."""
+    gone, order, count, p, at, less, needed, of, sizes = _noted(note)
+    o = np.arange(SIDE, -1, -1)  # a window starts o bytes before its place
+    flags = _flags(parts, of, sizes)[:, ::-1][at]
+    flags[less] |= (o <= needed[:, :1]) & (SIDE - o <= needed[:, 1:])
+    spans, e = {}, 0
+    for i in order.tolist():
+        b, e = e, e + int(count[i])
+        place, c = np.nonzero(flags[b:e])
+        spans[i] = _spans(p[b:e][place] - o[c])
+    return gone, spans
+
+
 def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """``RESULT`` for every row of ``docs`` (doc_id, text): counts, the hash of
     what is kept, and the byte spans removed."""
@@ -289,7 +395,7 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
 
     def first_round(row):
         d = C.Docs(row)
-        named = [(np.unique(m), doc) for _, doc, _, _, m in _named(d)]
+        named = [(m[_steps(m)], doc) for _, doc, _, _, m in _named(d)]
         keys, _, several = _firsts([m for m, _ in named], [doc for _, doc in named])
         # an anchor only asks whether others have it: the chunk stands for its documents
         yield from _asked(keys, np.full(len(keys), row["chunk"]), several, 0, bits)
@@ -298,29 +404,26 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     anchors = C.ask(chunks, first_round, lambda part, asked: _judged(asked, bits))
 
     def second_round(row, parts):
-        got = list(_sides(*_second(row, parts, bits)[4:], bits))
+        rows, ids, known = _second(row, parts, bits)
+        got = [*_sides(rows, ids, bits), (NOTE | row["chunk"], _note(rows, known, bits))]
         return {"part": [p for p, _ in got], "chunk": [row["chunk"]] * len(got), "blob": [b for _, b in got]}
 
     def reply(batches):
         for g in C.grouped(C.rows_of(batches), "part"):
-            got = list(_windows([(r["chunk"], r["blob"]) for r in g], bits))
+            got = [(r["chunk"], r["blob"]) for r in g]
+            if g[0]["part"] < NOTE:
+                got = list(_windows(got, bits))
             yield {"part": [g[0]["part"]] * len(got), "chunk": [c for c, _ in got], "blob": [b for _, b in got]}
 
     sent = C.meet(chunks, anchors, C.ASKED, second_round).repartition("part").sortWithinPartitions("part", "chunk")
     windows = saved(map_rows(sent, C.ASKED, reply), "answers")
 
     def last(row, parts):
-        d, gone, found, where, rows, low = _second(row, parts, bits)
-        flags = _flags(parts, rows, bits)
+        d = C.Docs(row)
+        gone, repeated = _repeated(parts, parts[NOTE | row["chunk"]])
         out: dict = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         for i, (doc, t) in enumerate(zip(d.ids.tolist(), d.texts())):
-            spans: list = []
-            if i in gone:
-                spans = [(0, len(t))]
-            elif i in found:
-                on, place, p, _ = found[i]
-                at = where[i][np.searchsorted(p, place)]
-                spans = _spans(len(t), on[flags[at, place - on] | (low[at] < doc)])
+            spans = [(0, len(t))] if gone[i] else repeated.get(i, [])
             kept, pos = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(t[pos:a])
@@ -331,7 +434,7 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
                 col.append(v)
         return out
 
-    return C.meet(chunks, anchors.union(windows), RESULT, last)
+    return C.meet(chunks, windows, RESULT, last)
 
 
 def op9_suffix_dedup(docs: DataFrame) -> DataFrame:
