@@ -210,6 +210,36 @@ def test_keys_survive_their_parts(bits):
         assert (C.keys_from(C.key_bytes(keys[at], bits), bits) == (keys[at] & low)).all()
 
 
+@pytest.mark.parametrize("bits", [9, 11, 13])
+def test_any_number_of_bits_names_a_part(bits):
+    keys = np.unique(np.random.RandomState(4).randint(0, 1 << 62, 5000).astype(np.uint64) * np.uint64(4))
+    low = np.uint64((1 << (64 - bits)) - 1)
+    for part, at in C.pack_keys(keys, bits):
+        assert ((keys[at] >> np.uint64(64 - bits)) == part).all()
+        assert (C.keys_from(C.key_bytes(keys[at], bits), bits) == (keys[at] & low)).all()
+
+
+def test_parts_follow_the_corpus(spark):
+    """Twice the text makes twice the parts, not 256 times as many."""
+
+    def bits(gb):
+        return C.part_bits(spark.createDataFrame([(int(gb * 1e9),)], "n_bytes long"))
+
+    assert [bits(gb) for gb in (0, 0.5, 4.2)] == [8, 8, 8]
+    assert [bits(gb) for gb in (4.4, 6, 12, 30, 1e5)] == [9, 9, 10, 11, 23]
+    assert C.part_bits(spark.createDataFrame([], "n_bytes long")) == 8
+
+
+def test_scores_and_removals_do_not_depend_on_the_parts(spark, monkeypatch):
+    df = frame(spark, corpus(37, 60))
+    found = []
+    for bits in (8, 9, 11):
+        monkeypatch.setattr(C, "part_bits", lambda chunks, bits=bits: bits)
+        scores = [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in L.op4_lm_score(df).collect()]
+        found.append((sorted(scores, key=str), sorted(S.op9_suffix_dedup(df).collect(), key=str)))
+    assert found[0] == found[1] == found[2]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a", "en")]).limit(0)
     assert L.op4_lm_score(none).collect() == [] and S.op9_suffix_dedup(none).collect() == []

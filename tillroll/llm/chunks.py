@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import map_rows, saved
 
 CHUNK_BYTES = 2 << 20
-PART_BYTES = 4 << 20  # text a part stands for
+PART_BYTES = 16 << 20  # most text that a part stands for
 NULL_ID = -(1 << 63)  # stands for a null id inside a chunk
 CHUNK = "chunk long, kind int, n_bytes long, ids binary, sizes binary, text binary"
 
@@ -86,10 +86,10 @@ def write_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 
 def part_bits(chunks: DataFrame) -> int:
-    """Leading bits of a key that name its part: more for a larger corpus."""
+    """Leading bits of a key that name its part: more for a larger corpus, bit
+    by bit, since every chunk sends a row to nearly every part."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    need = math.log2(max(total, 1) / PART_BYTES)
-    return min(24, max(8, 8 * math.ceil(need / 8 - 0.25)))
+    return min(24, max(8, math.ceil(math.log2(max(total, 1) / PART_BYTES))))
 
 
 def pack_keys(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
@@ -102,16 +102,16 @@ def pack_keys(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
 
 
 def key_bytes(keys: np.ndarray, bits: int) -> bytes:
-    """The keys of one part without the bytes that the part names."""
+    """The keys of one part without the whole bytes that the part names."""
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8].tobytes()
 
 
 def keys_from(b: bytes, bits: int) -> np.ndarray:
-    """Keys of a part without the named bytes (as numbers in the part's order)."""
+    """Keys of a part without the named bits (as numbers in the part's order)."""
     w = 8 - bits // 8
     out = np.zeros((len(b) // w, 8), dtype=np.uint8)
     out[:, :w] = np.frombuffer(b, dtype=np.uint8).reshape(-1, w)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+    return out.reshape(-1).view("<u8").astype(np.uint64) & np.uint64((1 << (64 - bits)) - 1)
 
 
 def rows_of(batches):
