@@ -96,6 +96,15 @@ def test_every_edit_is_in_the_neighbourhood():
                     assert int(var.reduced_keys([o])[0]) in own
 
 
+def test_no_join_collects_words_on_the_driver(spark):
+    """Small files stand for a neighbourhood that Spark sizes too low."""
+    words = var.saved(spark.createDataFrame([("a" * (9 + i), 3 * 2**i) for i in range(9)], "word string, n long"), "words")
+    for df in (var.near_words(words), var.group_variants(words)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_empty_table(spark):
     df = frame(spark, [(1, "a b", "en")]).where("false")
     assert found(var.op13_variants(df)) == []

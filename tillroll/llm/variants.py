@@ -9,7 +9,8 @@ the reduced vocabulary (fixed size, broadcast) drops neighbours that no word
 has before the shuffle.  A neighbourhood has a key once and a word one reduced
 form, so a pair meets once from each side and no pair is lost.
 
-The counting, the join, the comparison and the grouping are Spark's.  Roots
+The counting, the joins, the comparison and the grouping are Spark's; Spark
+takes a neighbourhood for one row, so no join is left to broadcast.  Roots
 come by pointer jumping over the forms: a form has twice the count of its
 word, so a chain has at most 63 words and settles in few rounds.
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.collocations import BITS, bitmap
 from tillroll.llm.common import map_rows, saved
+from tillroll.plans.joins import by_shuffle
 
 MIN_LENGTH = 5
 MIN_COUNT = 3
@@ -174,7 +176,7 @@ def near_words(words: DataFrame) -> DataFrame:
     from both sides."""
     vocab = saved(reduced(words), "reduced-words")
     bits = words.sparkSession.sparkContext.broadcast(bitmap(vocab, F.col("bit")))
-    met = reduced_neighbours(words, bits).join(vocab.drop("bit"), "key")
+    met = reduced_neighbours(words, bits).join(by_shuffle(vocab.drop("bit")), "key")
     return met.where(F.levenshtein("word", "other", 1) == 1).drop("key")
 
 
@@ -183,7 +185,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = saved(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = saved(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        step = saved(now.join(by_shuffle(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         if step.where("moved").isEmpty():
             return step.drop("moved")
         now = step.drop("moved")
@@ -194,11 +196,11 @@ def group_variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     best_n = -F.col("best.less")
     is_form = best_n >= ratio * F.col("n")
-    joined = words.join(near, "word", "left").select(
+    joined = words.join(by_shuffle(near), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.other")).alias("form"), F.when(is_form, best_n).alias("form_n")
     )
     joined = saved(joined, "spelling-forms")
-    found = joined.join(roots(joined.where("form is not null")), "word", "left")
+    found = joined.join(by_shuffle(roots(joined.where("form is not null"))), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
