@@ -1,5 +1,6 @@
 """What the plans must not do: read columns nobody needs, scan lines twice."""
 
+import itertools
 import re
 
 from tillroll import registry
@@ -33,6 +34,41 @@ def test_kpis_do_not_multiply_lines(spark):
     assert "Expand" not in plan
 
 
+def broadcast_keys(df) -> set[str]:
+    """The left keys of all broadcast joins of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {re.sub(r"#.*", "", k.strip()) for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan) for k in keys.split(",")}
+
+
+def test_prices_broadcast_no_part_and_no_sku(spark):
+    """Small tables stand for inputs that Spark sizes too low: parts, skus,
+    customers and lines are never collected on the driver."""
+    small = {"Brand_Key", "_eff_key", "correct_brand_key", "Date", "c_nationkey", "n_regionkey"}
+    for prices in canon.price_lists(spark, SF):
+        assert broadcast_keys(prices) == set()
+    assert broadcast_keys(canon.line_months(spark, SF)) <= small
+    assert broadcast_keys(registry._price_run(spark, SF, registry.PRICE_WINDOWS[0], 4)) <= small
+    current, _ = canon.price_lists(spark, SF)
+    grid = registry.prc.sku_date_grid(*registry._sku_inputs(spark, SF), canon.calendar(spark, SF), current, registry.PRICE_WINDOWS[0])
+    assert broadcast_keys(grid) <= small
+
+
+def below(plan: str, line: str) -> str:
+    """What a line of a plan stands on: the lines after it that are set deeper."""
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    lines = plan.splitlines()
+    at = lines.index(line)
+    return "\n".join(itertools.takewhile(lambda x: depth(x) > depth(line), lines[at + 1 :]))
+
+
+def test_products_meet_their_brands_before_they_are_placed(spark):
+    """Brands and attributes are joined to a row per product, not per sku."""
+    skus = registry.prc.displayed_skus(*registry._sku_inputs(spark, SF), canon.price_lists(spark, SF)[0])
+    plan = skus._jdf.queryExecution().executedPlan().toString()
+    branded = [x for x in plan.splitlines() if re.search(r"Join \[(Brand_Key|_eff_key)#", x)]
+    assert len(branded) == 3 and not any("explode" in below(plan, x) for x in branded)
+
+
 def test_checkpoint_folder_is_asked_for_off_local_mode(spark, monkeypatch):
     import pytest
 
